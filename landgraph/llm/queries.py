@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgraph.llm.common import Scratch
+from landgraph.llm.decontaminate import contaminated
 from landgraph.llm.licenses import TEMPLATES, scan_licenses
 from landgraph.llm.line_dedup import dedup_lines
+from landgraph.llm.near_dedup import near_duplicates
 from landgraph.llm.packing import pack_documents
+from landgraph.llm.passages import repeated_passages
+from landgraph.llm.quality import classify
 from landgraph.llm.warc import read_archives, write_archives
 from landgraph.session import table
 
@@ -20,6 +24,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,10 +52,18 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _KEY = r"translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
@@ -92,4 +112,4 @@ QUALIFY row_number() OVER (PARTITION BY r, unit, unit_no ORDER BY dice DESC, lic
 
 SQL["op8_license_scan"] = _license_sql()
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_best_fit_packing, op6_warc, op8_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_decontamination, op4_quality_classifier, op5_best_fit_packing, op6_warc, op7_substring_dedup, op8_license_scan, op9_minhash_near_dedup)}
