@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landgraph.llm.common import Scratch
 from landgraph.llm.decontaminate import contaminated
+from landgraph.llm.hidden_markov import score_texts
 from landgraph.llm.licenses import TEMPLATES, scan_licenses
 from landgraph.llm.line_dedup import dedup_lines
 from landgraph.llm.near_dedup import near_duplicates
@@ -64,6 +65,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 _KEY = r"translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
@@ -112,4 +117,4 @@ QUALIFY row_number() OVER (PARTITION BY r, unit, unit_no ORDER BY dice DESC, lic
 
 SQL["op8_license_scan"] = _license_sql()
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_decontamination, op4_quality_classifier, op5_best_fit_packing, op6_warc, op7_substring_dedup, op8_license_scan, op9_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_decontamination, op4_quality_classifier, op5_best_fit_packing, op6_warc, op7_substring_dedup, op8_license_scan, op9_minhash_near_dedup, op10_hidden_markov)}
