@@ -11,6 +11,7 @@ from landgraph.llm.hidden_markov import score_texts
 from landgraph.llm.licenses import TEMPLATES, scan_licenses
 from landgraph.llm.line_dedup import dedup_lines
 from landgraph.llm.near_dedup import near_duplicates
+from landgraph.llm.nn_descent import near_vectors
 from landgraph.llm.packing import pack_documents
 from landgraph.llm.passages import repeated_passages
 from landgraph.llm.quality import classify
@@ -20,6 +21,10 @@ from landgraph.session import table
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -117,4 +122,4 @@ QUALIFY row_number() OVER (PARTITION BY r, unit, unit_no ORDER BY dice DESC, lic
 
 SQL["op8_license_scan"] = _license_sql()
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_decontamination, op4_quality_classifier, op5_best_fit_packing, op6_warc, op7_substring_dedup, op8_license_scan, op9_minhash_near_dedup, op10_hidden_markov)}
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_line_dedup, op3_decontamination, op4_quality_classifier, op5_best_fit_packing, op6_warc, op7_substring_dedup, op8_license_scan, op9_minhash_near_dedup, op10_hidden_markov)}
