@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from landgraph.plans import browse, entities, extraction, timeline
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for part in (browse, entities, extraction, timeline):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
 FLAGSHIP = "d11_group_fold"
