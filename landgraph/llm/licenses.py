@@ -5,7 +5,10 @@ lines, and the whole text where it has several blocks. A passage and a template
 normalised alike: lower case, runs of anything but letters and digits to one space. With |A|
 and |B| distinct bigrams, Dice is 2|A∩B| / (|A|+|B|), so a template can reach a threshold t
 only where |A| lies between t/(2-t)|B| and (2-t)/t|B|; passages outside every template's
-bounds are dropped before any bigram is made. A text or template of one word has that word
+bounds are dropped before any bigram is made. A passage that reaches the threshold holds at
+least t/(2-t)|B| of the template's bigrams, so of any |B| - ⌈t/(2-t)|B|⌉ + 1 of them it holds
+one: texts and passages without the longer word of any such prefix bigram are passed over
+before they are normalised. A text or template of one word has that word
 as its only bigram. All of it is DataFrame expressions.
 
 Null and empty texts match nothing. Repeated rows give repeated matches. Ties in the
@@ -14,6 +17,9 @@ coefficient go to the smaller template id.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +48,23 @@ def bigrams_of(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) < 2, words).otherwise(pairs))
 
 
+def prefix_words(templates: dict[str, list[str]], threshold: float) -> list[str]:
+    """Words of which every passage that reaches the threshold with any template holds one."""
+    out = set()
+    for grams in templates.values():
+        spare = len(grams) - math.ceil(round(threshold / (2 - threshold) * len(grams), 9)) + 1
+        words = sorted({max(g.split(" "), key=len) for g in grams}, key=lambda w: (-len(w), w))
+        covered: set[str] = set()
+        for w in words:  # long words are rare; take them until enough bigrams are covered
+            if len(covered) >= spare:
+                break
+            out.add(w)
+            covered |= {g for g in grams if w in g.split(" ")}
+    return sorted(out)
+
+
 def scan_licenses(
-    docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, broadcast_bigrams: int = 200_000
+    docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, broadcast_bigrams: int = 200_000, max_marks: int = 64
 ) -> DataFrame:
     """Rows (id, unit, unit_no, license, dice): each passage's best template of at least `threshold`.
 
@@ -53,23 +74,32 @@ def scan_licenses(
     spark: SparkSession = docs.sparkSession
     named = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license string, body string")
     grams = named.select("license", F.explode(bigrams_of(words_of(F.col("body")))).alias("gram"))
-    sizes = [(r[0], r[1]) for r in grams.groupBy("license").count().collect()]  # one row for each template given
+    by_template: dict[str, list[str]] = {}
+    for r in grams.collect():  # the templates given, a parameter
+        by_template.setdefault(r.license, []).append(r.gram)
+    sizes = [(k, len(v)) for k, v in by_template.items()]
+    marks = prefix_words(by_template, threshold)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     grams = grams.join(F.broadcast(spark.createDataFrame(sizes, "license string, n_template long")), "license")
     if sum(n for _, n in sizes) <= broadcast_bigrams:
         grams = F.broadcast(grams)
     least, most = min((n for _, n in sizes), default=1) * low, max((n for _, n in sizes), default=0) * high
 
+    def marked(text: Column) -> Column:
+        """A cheap necessary test; a template set with very many words does without."""
+        low = F.lower(text)
+        return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in marks)) if 0 < len(marks) <= max_marks else F.lit(True)
+
     text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.filter(marked(F.col(text_col)))
     lines, blocks = F.split(text, "\n"), F.split(text, r"\n[\t ]*\n")
     unit = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("unit_no"), x.alias("body"))
     several = F.filter(F.transform(blocks, unit("block")), lambda u: F.instr(u["body"], "\n") > 0)
     whole = F.when(F.size(blocks) > 1, F.array(unit("text")(text, F.lit(0)))).otherwise(F.filter(F.array(unit("text")(text, F.lit(0))), lambda u: F.lit(False)))
     units = F.concat(F.transform(lines, unit("line")), several, whole)
-    # an upper bound on words by characters and a lower bound by bytes: cheap tests before any normalisation
     rows = docs.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__row"), F.explode(units).alias("__u"))
     rows = rows.select("__id", "__row", F.col("__u.unit").alias("unit"), F.col("__u.unit_no").alias("unit_no"), F.col("__u.body").alias("__body"))
-    rows = rows.filter(F.char_length("__body") >= F.lit(2 * least - 1))
+    rows = rows.filter(marked(F.col("__body")) & (F.char_length("__body") >= F.lit(2 * least - 1)))
     rows = rows.withColumn("__grams", bigrams_of(words_of(F.col("__body")))).drop("__body").withColumn("__n", F.size("__grams"))
     rows = rows.filter((F.col("__n") >= least) & (F.col("__n") <= most))
     hits = rows.select("__id", "__row", "unit", "unit_no", "__n", F.explode("__grams").alias("gram")).join(grams, "gram")
