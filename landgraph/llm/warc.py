@@ -1,7 +1,7 @@
 """WARC archives: writing with segmented, chunk-framed records and reading them back.
 
 Records are written by Spark's text sink, whose row separator is the WARC record separator,
-so archives land on any file system Spark knows, through its commit protocol. A payload over
+and compressed, so archives land on any file system Spark knows, through its commit protocol. A payload over
 `segment_bytes` is split into a first record and continuation records; bodies are framed as
 HTTP chunks. Reading parses whole archive files by Content-Length, groups continuation
 records by their origin's identifier, orders them by segment number, checks the total length
@@ -16,6 +16,7 @@ of its own, also when rows repeat.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -92,7 +93,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     if partitions:
         kinds = kinds.repartition(partitions)
     # the sink writes a string column's bytes as they are
-    kinds.mapInArrow(_records(segment_bytes, date), "record binary").select(F.col("record").cast("string")).write.option("lineSep", END).text(path)
+    kinds.mapInArrow(_records(segment_bytes, date), "record binary").select(F.col("record").cast("string")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict, bytes]]:
@@ -126,7 +127,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for data in b.column(0):
             rows, held = [], 0
-            for h, block in parse_archive(data.as_buffer().to_pybytes()):
+            raw = data.as_buffer().to_pybytes()
+            for h, block in parse_archive(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                 rows.append((h["WARC-Type"], h["WARC-Record-ID"], h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), number(h.get("WARC-Segment-Number")), number(h.get("WARC-Segment-Total-Length")), h.get("X-Source-Key"), h.get("X-Refers-To-Key"), h.get("WARC-Payload-Digest"), number(h.get("X-Payload-Length")), h.get("WARC-Target-URI"), block))
                 held += len(block)
                 if held > 4 << 20:
