@@ -48,7 +48,7 @@ def roll_number(x: Column) -> Column:
 
 def pins(x: Column) -> Column:
     """Every parcel number of a text with several, as an array."""
-    return F.filter(F.transform(F.split(x, r"\s*(?:,|;|\band\b)\s*"), pin), lambda p: p != "")
+    return F.filter(F.transform(F.split(x, r"\s*(?:,|;|\band\b)\s*"), lambda p: pin(p)), lambda p: p != "")
 
 
 def site_acres(x: Column) -> Column:

@@ -138,7 +138,7 @@ def c4_stage_joins(spark, d):
 
 
 @query("""WITH f AS (SELECT l_orderkey, min(l_linenumber) FILTER (WHERE l_returnflag = 'R') AS first_line, max(l_linenumber) AS n FROM lineitem GROUP BY l_orderkey)
-SELECT f.l_orderkey, n, l_partkey AS primary_part FROM f LEFT JOIN (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL) x ON f.l_orderkey = x.l_orderkey AND f.first_line = x.l_linenumber""")
+SELECT f.l_orderkey, n, l_partkey AS primary_part FROM f LEFT JOIN (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) x ON f.l_orderkey = x.l_orderkey AND f.first_line = x.l_linenumber""")
 def c5_primary_element(spark, d):
     item = F.struct("l_linenumber", "l_partkey")
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n"), F.min(F.when(F.col("l_returnflag") == "R", item)).alias("p"))
