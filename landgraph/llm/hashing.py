@@ -66,7 +66,7 @@ class Words:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((LOWER[data] + np.uint64(1)) * up[:n], out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
-        self.sums, self.down = sums, down
+        self.sums, self.up, self.down = sums, up, down
         self.doc = np.searchsorted(ends, self.start, side="right") - 1
         # texts without bytes share a start with the next one; searchsorted's right side names the last
         self.bounds = np.searchsorted(self.doc, np.arange(count + 1))

@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landgraph.llm.common import Scratch, shuffle_partitions
-from landgraph.llm.hashing import mix
+from landgraph.llm.hashing import LOWER, SPACE, Words, mix, word_slices
 
 PROBES = 5
 BITS_A_KEY = 12
@@ -64,24 +65,61 @@ class Bloom:
                 np.bitwise_or.at(self.layers[-1], p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
 
 
-def line_key(line: Column) -> Column:
-    """The line without ASCII white space at its ends, A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit("\t\n\x0b\x0c\r ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
+class Lines:
+    """Lines of a slice of texts: doc, byte span, 128-bit key, and the key's length in code points."""
+
+    def __init__(self, words: Words):
+        data, ends, n = words.data, words.ends, len(words.data)
+        breaks = np.flatnonzero(data == 10)
+        # a break at byte b ends a line of the text that holds b; every text also ends its last line
+        stops = np.concatenate([breaks, ends[1:]])
+        doc = np.concatenate([np.searchsorted(ends, breaks, side="right") - 1, np.arange(words.docs)])
+        # texts of no bytes share their end with others; order by text first
+        order = np.lexsort((stops, doc))
+        self.end, self.doc = stops[order], doc[order]
+        first = np.ones(len(self.doc), bool)
+        first[1:] = self.doc[1:] != self.doc[:-1]
+        self.start = np.where(first, ends[self.doc], np.append(0, self.end[:-1] + 1))
+        solid = np.flatnonzero(~SPACE[data])
+        lo, hi = np.searchsorted(solid, self.start), np.searchsorted(solid, self.end)
+        full = hi > lo
+        begin, stop = self.start.copy(), self.start.copy()
+        begin[full], stop[full] = solid[lo[full]], solid[hi[full] - 1] + 1
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        self.length = points[stop] - points[begin]
+        self.h1 = mix((words.sums[stop] - words.sums[begin]) * words.down[begin])
+        other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(LOWER[data] + np.uint64(77)) * words.up[:n])])
+        self.h2 = mix((other[stop] - other[begin]) * words.down[begin] + self.length.astype(np.uint64))
+
+
+def _keys(min_chars: int):
+    """Rows (id, h1 list, h2 list): a document's distinct long enough keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words in word_slices(b.column(1)):
+                x = Lines(words)
+                long = x.length >= min_chars
+                doc, h1, h2 = x.doc[long], x.h1[long], x.h2[long]
+                order = np.lexsort((h2, h1, doc))
+                doc, h1, h2 = doc[order], h1[order], h2[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                yield b.column(0).take(pa.array(doc[new] + words.first)), h1[new], h2[new]
 
-def _digest(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"))
+    return run
 
 
-def _send(segments: int):
+def _send(segments: int, min_chars: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, counts = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64), return_counts=True)
+            parts = [h1 for _, h1, _ in _keys(min_chars)([b])]
+            keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
             seg = (mix(keys) % np.uint64(segments)).astype(np.int64)
             order = np.argsort(seg, kind="stable")
             keys, counts, seg = keys[order], counts[order], seg[order]
             names, starts = np.unique(seg, return_index=True)
-            ends = [*starts[1:], len(seg)]
+            ends = [*starts[1:], len(seg)][: len(names)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(names, pa.int32()),
@@ -116,37 +154,57 @@ def _twice_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["segment", "bits"])
 
 
-def _probe(segments: int, shared):
+def _probe(segments: int, min_chars: int, shared):
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = {s: np.frombuffer(x, np.uint8) for s, x in shared.value.items()}
         for b in batches:
-            lists = b.column(1)
-            rows = np.repeat(np.arange(len(lists)), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(int))
-            keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            second = b.column(2).flatten().to_numpy(zero_copy_only=False)
-            seg = (mix(keys) % np.uint64(segments)).astype(np.int64)
-            keep = np.zeros(len(keys), bool)
-            order = np.argsort(seg, kind="stable")
-            names, starts = np.unique(seg[order], return_index=True)
-            for s, i, j in zip(names, starts, [*starts[1:], len(seg)], strict=True):
-                if s in filters:
-                    at = order[i:j]
-                    keep[at] = Bloom.test(filters[s], keys[at])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows[keep])), pa.array(keys[keep].view(np.int64)), pa.array(second[keep])], ["id", "h1", "h2"]
-            )
+            for ids, keys, second in _keys(min_chars)([b]):
+                seg = (mix(keys) % np.uint64(segments)).astype(np.int64)
+                keep = np.zeros(len(keys), bool)
+                order = np.argsort(seg, kind="stable")
+                names, starts = np.unique(seg[order], return_index=True)
+                for s, i, j in zip(names, starts, [*starts[1:], len(seg)][: len(names)], strict=True):
+                    if s in filters:
+                        at = order[i:j]
+                        keep[at] = Bloom.test(filters[s], keys[at])
+                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(keep)), pa.array(keys[keep].view(np.int64)), pa.array(second[keep].view(np.int64))], ["id", "h1", "h2"])
 
     return probe
 
 
+def _drop(min_chars: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, n_lines, n_dropped = [], [], []
+            gone = b.column(1).to_pylist()
+            for words in word_slices(b.column(0)):
+                x = Lines(words)
+                bounds = np.searchsorted(x.doc, np.arange(words.docs + 1))
+                n_lines += np.diff(bounds).tolist()
+                for d in range(words.docs):
+                    raw, drops = words.data[words.ends[d] : words.ends[d + 1]], gone[words.first + d]
+                    stays = None
+                    if drops:
+                        keys = {(k["h1"], k["h2"]) for k in drops}
+                        at = slice(bounds[d], bounds[d + 1])
+                        pairs = zip(x.h1[at].view(np.int64).tolist(), x.h2[at].view(np.int64).tolist(), x.length[at].tolist(), strict=True)
+                        stays = [n < min_chars or (p, q) not in keys for p, q, n in pairs]
+                    text = raw.tobytes().decode()
+                    if stays is not None and not all(stays):
+                        text = "\n".join(line for line, stay in zip(text.split("\n"), stays, strict=True) if stay)
+                    texts.append(text)
+                    n_dropped.append(0 if stays is None else len(stays) - sum(stays))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), *b.columns[2:]], names)
+
+    return run
+
+
 def repeated_lines(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, min_chars: int, min_docs: int, slab_bytes: int) -> DataFrame:
     """Rows (id, h1, h2): keys that a document must drop."""
     spark, segments = docs.sparkSession, shuffle_partitions(docs.sparkSession)
-    keys = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), line_key), lambda k: F.char_length(k) >= min_chars))
-    hashed = docs.select(F.col(id_col).alias("id"), F.transform(keys, _digest).alias("k"))
-    hashed = hashed.filter(F.size("k") > 0).select("id", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
-    kind = dict(hashed.dtypes)["id"]
-    sent = hashed.select("h1").mapInArrow(_send(segments), "segment int, once binary, more binary")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = dict(texts.dtypes)["id"]
+    sent = texts.mapInArrow(_send(segments, min_chars), "segment int, once binary, more binary")
     filters = scratch.save(sent.repartition(segments, "segment").mapInArrow(_twice_seen, "segment int, bits binary"), "filters")
     slabs, room = [[]], slab_bytes
     for seg, size in sorted((r[0], r[1]) for r in filters.select("segment", F.length("bits")).collect()):
@@ -158,7 +216,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col:
     found = None
     for slab in slabs:
         held = {r.segment: bytes(r.bits) for r in filters.filter(F.col("segment").isin(slab)).collect()} if slab else {}
-        part = hashed.mapInArrow(_probe(segments, spark.sparkContext.broadcast(held)), f"id {kind}, h1 long, h2 long")
+        part = texts.mapInArrow(_probe(segments, min_chars, spark.sparkContext.broadcast(held)), f"id {kind}, h1 long, h2 long")
         found = part if found is None else found.union(part)
     found = scratch.save(found, "suspected")
     counts = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
@@ -168,13 +226,11 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col:
 def dedup_lines(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, slab_bytes: int = 32 << 20
 ) -> DataFrame:
-    """The documents with `text` after dropping repeated lines, and n_lines, n_dropped."""
+    """The documents with `text` after dropping repeated lines, and n_lines, n_dropped (replacing columns so named)."""
     scratch = Scratch(docs.sparkSession, "lines")
     drops = repeated_lines(docs, scratch, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs, slab_bytes=slab_bytes)
     drops = drops.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("__drop")).withColumnRenamed("id", "__id")
-    whole = docs.join(drops, docs[id_col].eqNullSafe(drops["__id"]), "left").drop("__id")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    stays = F.filter(lines, lambda x: (F.char_length(line_key(x)) < min_chars) | ~F.array_contains(F.col("__drop"), _digest(line_key(x))))
-    whole = whole.withColumn("__kept", F.when(F.col("__drop").isNull(), lines).otherwise(stays))
-    whole = whole.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size("__kept")).cast("long")})
-    return whole.withColumn(text_col, F.array_join("__kept", "\n")).drop("__kept", "__drop")
+    rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    whole = docs.join(drops, docs[id_col].eqNullSafe(drops["__id"]), "left").select(text_col, "__drop", *rest)
+    schema = T.StructType([T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), *(docs.schema[c] for c in rest)])
+    return whole.mapInArrow(_drop(min_chars, schema.fieldNames()), schema)
