@@ -142,7 +142,7 @@ def _scan(shared, window: int, coverage: float, agreement: float):
                 order = np.lexsort((item, doc))
                 doc, item, at, pos = doc[order], item[order], at[order], pos[order]
                 cuts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))) if len(doc) else []
-                for i, j in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+                for i, j in zip(cuts, [*cuts[1:], len(doc)][: len(cuts)], strict=True):
                     share, same, differs = judge(c, doc[i], at[i:j], t["items"][item[i]], pos[i:j], window)
                     if share >= coverage and same >= agreement:
                         ids.append(int(doc[i]) + words.first)
