@@ -79,7 +79,7 @@ def scan_licenses(
         by_template.setdefault(r.license, []).append(r.gram)
     sizes = [(k, len(v)) for k, v in by_template.items()]
     marks = prefix_words(by_template, threshold)
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     grams = grams.join(F.broadcast(spark.createDataFrame(sizes, "license string, n_template long")), "license")
     if sum(n for _, n in sizes) <= broadcast_bigrams:
         grams = F.broadcast(grams)
