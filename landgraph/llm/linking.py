@@ -1,11 +1,12 @@
-"""Links between the members of hash buckets, without all pairs of a bucket.
-
-In each round a bucket's smallest open member is its pivot and is scored against the bucket's
-other members. Members linked with the pivot are closed. Distances 1 - score are a metric (the
-weighted and the plain Jaccard distance are), so a closed member v nearer to the pivot than
-every open member by more than 1 - threshold can link with none of them and leaves the bucket.
-A bucket ends when no member is open; small remainders end at once by their own pairs. A large
-group of near copies so costs one scored pair for each member, and no link is lost.
+"""Components of the links between members of hash buckets, without all pairs of a bucket.
+
+In the first round a bucket's smallest member is its pivot and is scored against the others.
+Scores at or over the threshold are links; the components of all links so far label the
+members. From then on a bucket is worked on only while its members have several labels: up to
+`PIVOTS` members outside its commonest label are pivots, each scored against every member of
+another label, and leave the bucket. Two members of one label need no score of their own, and
+two of different labels are always scored before the last pivot has left, so the components
+are those of all pairs; a large group of near copies costs about one score for each member.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from landgraph.llm.common import Scratch
+from landgraph.llm.common import Scratch, components
 
-SMALL = 24
+PIVOTS = 32
 
 
 def score_pairs(pairs: DataFrame, payloads: DataFrame, score: Callable[[pa.Array, pa.Array], "object"]) -> DataFrame:
@@ -36,28 +37,36 @@ def score_pairs(pairs: DataFrame, payloads: DataFrame, score: Callable[[pa.Array
 
 
 def link_buckets(members: DataFrame, payloads: DataFrame, score: Callable, threshold: float, scratch: Scratch) -> DataFrame:
-    """Edges (a, b) of score >= threshold between members (bucket, v) of the same bucket."""
-    members = members.select("bucket", "v", F.lit(True).alias("open"))
-    edges, step = None, 0
+    """Components (id, component) of links of score >= threshold between members (bucket, v) of the same bucket."""
+    heads = members.groupBy("bucket").agg(F.min("v").alias("p"))
+    rows = scratch.save(members.join(heads, "bucket").filter("v <> p").select("bucket", "v", "p"), "round0")
+    pairs = rows.select(F.col("v").alias("a"), F.col("p").alias("b")).distinct()
+    rows = rows.select("bucket", "v")  # a bucket's first pivot has met all others
+    labels, step = None, 0
     while True:
         step += 1
-        heads = members.groupBy("bucket").agg(F.min(F.when(F.col("open"), F.col("v"))).alias("p"), F.count(F.lit(1)).alias("n"))
-        rows = members.join(heads, "bucket")
-        if step > 1:
-            few = rows.filter(F.col("n") <= SMALL)
-            other = few.select("bucket", F.col("v").alias("w"), F.col("open").alias("w_open"))
-            own = few.filter("open").join(other, "bucket").filter("v <> w and (not w_open or v < w)").select(F.col("w").alias("a"), F.col("v").alias("b"))
-            rows = rows.filter(F.col("n") > SMALL)
-        rows = rows.filter("v <> p").select("bucket", "v", "open", "p")
-        pairs = rows.select(F.col("v").alias("a"), F.col("p").alias("b"))
-        pairs = pairs.union(own) if step > 1 else pairs
-        scored = scratch.save(score_pairs(pairs.distinct(), payloads, score), f"scored{step}")
-        found = scored.filter(F.col("score") >= threshold).select("a", "b")
-        edges = found if edges is None else edges.union(found)
-        rows = rows.join(scored.select(F.col("a").alias("v"), F.col("b").alias("p"), "score"), ["v", "p"])
-        rows = rows.withColumn("open", F.col("open") & (F.col("score") < threshold))
-        nearest = rows.filter("open").groupBy("bucket").agg(F.max("score").alias("near"))
-        left = rows.join(nearest, "bucket").filter(F.col("open") | (F.col("score") <= F.col("near") + (1 - threshold)))
-        members = scratch.save(left.select("bucket", "v", "open"), f"members{step}")
-        if members.isEmpty():
-            return edges
+        links = score_pairs(pairs, payloads, score).filter(F.col("score") >= threshold).select("a", "b")
+        if labels is not None:
+            side = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"label_{c}"))
+            links = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+            links = links.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).filter("a <> b").distinct()
+        links = scratch.save(links, f"links{step}")
+        moved = components(links, scratch, f"step{step}")
+        if labels is None:
+            labels = moved
+        else:
+            to = moved.select(F.col("id").alias("component"), F.col("component").alias("to"))
+            old = labels.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+            labels = scratch.save(old.union(moved.join(old.select("id"), "id", "left_anti")), f"labels{step}")
+        named = rows.join(labels.withColumnRenamed("id", "v"), "v", "left").select("bucket", "v", F.coalesce("component", "v").alias("label"))
+        sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+        main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+        named = scratch.save(named.join(main.select("bucket", F.col("m.label").alias("main")), "bucket"), f"named{step}")
+        if named.isEmpty():
+            return labels
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("v"))
+        pivots = named.filter("label <> main").withColumn("place", place).filter(F.col("place") <= PIVOTS)
+        pivots = scratch.save(pivots.select("bucket", F.col("v").alias("p"), F.col("label").alias("p_label")), f"pivots{step}")
+        met = named.join(pivots, "bucket").filter("label <> p_label")
+        pairs = met.select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
+        rows = named.join(pivots.select("bucket", F.col("p").alias("v")), ["bucket", "v"], "left_anti").select("bucket", "v")

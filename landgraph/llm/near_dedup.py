@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landgraph.llm.common import Scratch, components, slices, sum_vectors
+from landgraph.llm.common import Scratch, slices, sum_vectors
 from landgraph.llm.hashing import STEP, Words, mix, sequence_hash, word_slices
 from landgraph.llm.linking import link_buckets
 
@@ -156,8 +156,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = members.select("v").distinct()
     bodies = texts.filter("id is not null").withColumn("v", F.col("id").cast("long")).join(wanted, "v").select("v", F.col("text").alias("body"))
     bodies = scratch.save(bodies, "bodies")
-    edges = link_buckets(members, bodies, weighted_jaccard(width, idf), threshold, scratch)
-    labels = components(edges, scratch, "near")
+    labels = link_buckets(members, bodies, weighted_jaccard(width, idf), threshold, scratch)
     root = classes.join(labels.withColumnRenamed("id", "v"), "v", "left").select("c1", "c2", F.coalesce("component", "v").alias("component_id"))
     found = signs.select("id", "c1", "c2").join(root, ["c1", "c2"]).select("id", "component_id")
     # texts without shingles have no signature

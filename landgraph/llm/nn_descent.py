@@ -176,7 +176,7 @@ def _local_join(best: int):
             new, low = b.column(2).to_numpy(zero_copy_only=False).astype(bool), b.column(3).to_numpy()
             x = matrix(b.column(4), "float32")
             cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
-            for i, j in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+            for i, j in zip(cuts, [*cuts[1:], len(keys)][: len(cuts)], strict=True):
                 if keys[i] != last:
                     close()
                     last, parts = keys[i], []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landgraph.llm.common import Scratch, components
+from landgraph.llm.common import Scratch
 from landgraph.llm.hashing import STEP, Words, _powers, mix, word_slices
 from landgraph.llm.linking import link_buckets
 from landgraph.llm.near_dedup import distinct_shingles
@@ -185,8 +185,7 @@ def repeated_passages(
     wanted = wanted.groupBy(F.col("kept.id").alias("id")).agg(F.collect_list(F.struct("h", F.col("kept.start").alias("start"), F.col("kept.n_words").alias("n_words"))).alias("spans"))
     bodies = texts.join(wanted, "id").select("text", "spans").mapInArrow(_bodies, "v long, body string")
     bodies = scratch.save(bodies.dropDuplicates(["v"]), "bodies")
-    edges = link_buckets(members, bodies, jaccard(width), threshold, scratch)
-    labels = components(edges, scratch, "passages")
+    labels = link_buckets(members, bodies, jaccard(width), threshold, scratch)
     root = classes.join(labels.withColumnRenamed("id", "h"), "h", "left").select("h", "kept", F.coalesce("component", "h").alias("component"))
     keeper = root.groupBy("component").agg(F.min("kept").alias("kept"))
     root = root.select("h", "component").join(keeper, "component")
