@@ -1,28 +1,55 @@
 """Components of the links between members of hash buckets, without all pairs of a bucket.
 
-In the first round a bucket's smallest member is its pivot and is scored against the others.
-Scores at or over the threshold are links; the components of all links so far label the
-members. From then on a bucket is worked on only while its members have several labels: up to
-`PIVOTS` members outside its commonest label are pivots, each scored against every member of
-another label, and leave the bucket. Two members of one label need no score of their own, and
-two of different labels are always scored before the last pivot has left, so the components
-are those of all pairs; a large group of near copies costs about one score for each member.
+Links join members of a weighted Jaccard similarity of `threshold` at least. In the first
+round a bucket's smallest member is its pivot and is scored against the others. Scores at or
+over the threshold are links; the components of all links so far label the members. From then
+on a bucket is worked on only while its members have several labels: some members outside its
+commonest label are pivots, each scored against every member of another label, and leave the
+bucket. Two members of one label need no score of their own, and two of different labels are
+always scored or ruled out before the last pivot has left, so the components are those of all
+pairs; a large group of near copies costs about one score for each member.
+
+Exact bounds rule pairs out unscored. The shared weight of two members is at most the lesser
+one's weight, and in large buckets at most the weight of those features that a member has in
+common with any other member still at work: near copies whose edits are their own are far from
+each other by that bound, however much of the original they share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgraph.llm.common import Scratch, components
 
-PIVOTS = 32
+PIVOTS = (4, 16, 64, 256)  # pivots of a bucket in the rounds after the first, the last number from then on
+LARGE = 64  # members of a bucket from which counting shared features pays
+
+#: Yields (rows, feature hashes, weights) for slices of a column of bodies, sorted by row and hash within each.
+Features = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def jaccard(features: Features) -> Callable[[pa.Array, pa.Array], np.ndarray]:
+    """Scores two columns of bodies row by row with the weighted Jaccard similarity."""
+
+    def score(left: pa.Array, right: pa.Array) -> np.ndarray:
+        found = [x for column in (left, right) for x in features(column)]
+        row, h, w = (np.concatenate([x[i] for x in found]) for i in range(3))
+        total = np.bincount(row, w, minlength=len(left))
+        order = np.lexsort((h, row))
+        row, h, w = row[order], h[order], w[order]
+        both = np.flatnonzero((row[1:] == row[:-1]) & (h[1:] == h[:-1]))
+        shared = np.bincount(row[both], np.minimum(w[both], w[both + 1]), minlength=len(left))
+        return shared / np.maximum(total - shared, 1e-300)
+
+    return score
 
 
-def score_pairs(pairs: DataFrame, payloads: DataFrame, score: Callable[[pa.Array, pa.Array], "object"]) -> DataFrame:
+def score_pairs(pairs: DataFrame, payloads: DataFrame, score: Callable[[pa.Array, pa.Array], np.ndarray]) -> DataFrame:
     """Rows (a, b, score) of pairs (a, b); payloads are rows (v, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,12 +63,58 @@ def score_pairs(pairs: DataFrame, payloads: DataFrame, score: Callable[[pa.Array
     return rows.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long, score double")
 
 
-def link_buckets(members: DataFrame, payloads: DataFrame, score: Callable, threshold: float, scratch: Scratch) -> DataFrame:
-    """Components (id, component) of links of score >= threshold between members (bucket, v) of the same bucket."""
-    heads = members.groupBy("bucket").agg(F.min("v").alias("p"))
-    rows = scratch.save(members.join(heads, "bucket").filter("v <> p").select("bucket", "v", "p"), "round0")
-    pairs = rows.select(F.col("v").alias("a"), F.col("p").alias("b")).distinct()
-    rows = rows.select("bucket", "v")  # a bucket's first pivot has met all others
+def weights(payloads: DataFrame, features: Features) -> DataFrame:
+    """Rows (v, w) with the weight of a body; null, that is unbounded, where v has several bodies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = np.zeros(len(b))
+            for row, _, weight in features(b.column(1)):
+                w += np.bincount(row, weight, minlength=len(b))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w)], ["v", "w"])
+
+    each = payloads.select("v", "body").mapInArrow(run, "v long, w double")
+    return each.groupBy("v").agg(F.when(F.count(F.lit(1)) == 1, F.first("w")).alias("w"))
+
+
+def lone_weights(payloads: DataFrame, features: Features) -> DataFrame:
+    """Rows (v, lone): the weight of the features that no other body has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, h, weight in features(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(weight, pa.float32())], ["v", "h", "w"])
+
+    each = payloads.select("v", "body").mapInArrow(run, "v long, h long, w float")
+    lone = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"), F.min("w").alias("w")).filter("n = 1")
+    return lone.groupBy("v").agg(F.sum("w").alias("lone"))
+
+
+def _unresolved(named: DataFrame) -> DataFrame:
+    """Rows of buckets whose members have several labels, with `main`, the commonest one, and `size`."""
+    sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size"))
+    return named.join(main.filter("labels > 1").select("bucket", F.col("m.label").alias("main"), "size"), "bucket")
+
+
+def link_buckets(members: DataFrame, payloads: DataFrame, score: Callable, threshold: float, scratch: Scratch, features: Features | None = None) -> DataFrame:
+    """Components (id, component) of links of score >= threshold between members (bucket, v) of the same bucket.
+
+    With `features`, score must be their weighted Jaccard similarity, and bounds spare scores.
+    """
+    least = threshold * (1 - 1e-5)  # weights are sums of floats
+
+    def possible(w: Column, c: Column, p_w: Column, p_c: Column) -> Column:
+        shared = F.least(c, p_c)
+        return F.when(w.isNull() | p_w.isNull(), True).otherwise(shared >= least * (w + p_w - shared))
+
+    heavy = scratch.save(weights(payloads, features), "weights") if features else None
+    members = members.select("bucket", "v").join(heavy, "v") if features else members.select("bucket", "v", F.lit(None).cast("double").alias("w"))
+    heads = members.groupBy("bucket").agg(F.min(F.struct("v", "w")).alias("p"))
+    rows = scratch.save(members.join(heads, "bucket").filter("v <> p.v").select("bucket", "v", "w", F.col("p.v").alias("p"), F.col("p.w").alias("p_w")), "round0")
+    w, p_w = F.col("w"), F.col("p_w")
+    pairs = rows.filter(possible(w, w, p_w, p_w)).select(F.col("v").alias("a"), F.col("p").alias("b")).distinct()
+    rows = rows.select("bucket", "v", "w", F.col("w").alias("c"))  # a bucket's first pivot has met all others
     labels, step = None, 0
     while True:
         step += 1
@@ -58,15 +131,22 @@ def link_buckets(members: DataFrame, payloads: DataFrame, score: Callable, thres
             to = moved.select(F.col("id").alias("component"), F.col("component").alias("to"))
             old = labels.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
             labels = scratch.save(old.union(moved.join(old.select("id"), "id", "left_anti")), f"labels{step}")
-        named = rows.join(labels.withColumnRenamed("id", "v"), "v", "left").select("bucket", "v", F.coalesce("component", "v").alias("label"))
-        sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        named = scratch.save(named.join(main.select("bucket", F.col("m.label").alias("main")), "bucket"), f"named{step}")
+        named = rows.join(labels.withColumnRenamed("id", "v"), "v", "left").select("bucket", "v", "w", "c", F.coalesce("component", "v").alias("label"))
+        named = scratch.save(_unresolved(named), f"named{step}")
+        if features and step == 1:
+            wanted = named.filter(F.col("size") > LARGE).select("v").distinct()
+            lone = scratch.save(lone_weights(payloads.join(wanted, "v"), features), "lone")
+            bound = named.join(lone, "v", "left").withColumn("c", F.when(F.col("size") > LARGE, w - F.coalesce("lone", F.lit(0.0))).otherwise(w))
+            # a member cannot link where too little of its weight is shared at all
+            bound = bound.filter(w.isNull() | (F.col("c") >= least * w)).select("bucket", "v", "w", "c", "label")
+            named = scratch.save(_unresolved(bound), "bound")
         if named.isEmpty():
             return labels
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("v"))
-        pivots = named.filter("label <> main").withColumn("place", place).filter(F.col("place") <= PIVOTS)
-        pivots = scratch.save(pivots.select("bucket", F.col("v").alias("p"), F.col("label").alias("p_label")), f"pivots{step}")
-        met = named.join(pivots, "bucket").filter("label <> p_label")
+        # members with most of their weight in common first: an original before its copies
+        order = Window.partitionBy("bucket").orderBy(F.desc(F.col("c") / w), "v")
+        pivots = named.filter("label <> main").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PIVOTS[min(step, len(PIVOTS)) - 1])
+        pivots = pivots.select("bucket", F.col("v").alias("p"), F.col("w").alias("p_w"), F.col("c").alias("p_c"), F.col("label").alias("p_label"))
+        pivots = scratch.save(pivots, f"pivots{step}")
+        met = named.join(pivots, "bucket").filter((F.col("label") != F.col("p_label")) & possible(w, F.col("c"), p_w, F.col("p_c")))
         pairs = met.select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
-        rows = named.join(pivots.select("bucket", F.col("p").alias("v")), ["bucket", "v"], "left_anti").select("bucket", "v")
+        rows = named.join(pivots.select("bucket", F.col("p").alias("v")), ["bucket", "v"], "left_anti").select("bucket", "v", "w", "c")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from landgraph.llm.common import Scratch, slices, sum_vectors
 from landgraph.llm.hashing import STEP, Words, mix, sequence_hash, word_slices
-from landgraph.llm.linking import link_buckets
+from landgraph.llm.linking import Features, jaccard, link_buckets
 
 BITS = 20
 PARTS = 64
@@ -120,26 +120,15 @@ def _sign(width: int, bands: int, rows: int, idf):
     return run
 
 
-def weighted_jaccard(width: int, idf):
-    """Scores texts row by row."""
+def weighted_shingles(width: int, idf) -> Features:
+    """Shingles with their TF-IDF weights."""
 
-    def score(left: pa.Array, right: pa.Array) -> np.ndarray:
-        keys, values, totals = [], [], np.zeros(len(left))
-        for column in (left, right):
-            for words in word_slices(column):
-                doc, h, tf = distinct_shingles(words, width)
-                w = tf * idf.value[(h >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.float64)
-                keys.append((doc + words.first, h))
-                values.append(w)
-                totals += np.bincount(doc + words.first, w, minlength=len(left))
-        row, h, w = np.concatenate([k[0] for k in keys]), np.concatenate([k[1] for k in keys]), np.concatenate(values)
-        order = np.lexsort((h, row))
-        row, h, w = row[order], h[order], w[order]
-        both = np.flatnonzero((row[1:] == row[:-1]) & (h[1:] == h[:-1]))
-        shared = np.bincount(row[both], np.minimum(w[both], w[both + 1]), minlength=len(left))
-        return shared / np.maximum(totals - shared, 1e-300)
+    def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for words in word_slices(column):
+            doc, h, tf = distinct_shingles(words, width)
+            yield doc + words.first, h, tf * idf.value[(h >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.float64)
 
-    return score
+    return features
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3) -> DataFrame:
@@ -156,7 +145,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = members.select("v").distinct()
     bodies = texts.filter("id is not null").withColumn("v", F.col("id").cast("long")).join(wanted, "v").select("v", F.col("text").alias("body"))
     bodies = scratch.save(bodies, "bodies")
-    labels = link_buckets(members, bodies, weighted_jaccard(width, idf), threshold, scratch)
+    features = weighted_shingles(width, idf)
+    labels = link_buckets(members, bodies, jaccard(features), threshold, scratch, features)
     root = classes.join(labels.withColumnRenamed("id", "v"), "v", "left").select("c1", "c2", F.coalesce("component", "v").alias("component_id"))
     found = signs.select("id", "c1", "c2").join(root, ["c1", "c2"]).select("id", "component_id")
     # texts without shingles have no signature

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from landgraph.llm.common import Scratch
 from landgraph.llm.hashing import STEP, Words, _powers, mix, word_slices
-from landgraph.llm.linking import link_buckets
+from landgraph.llm.linking import Features, jaccard, link_buckets
 from landgraph.llm.near_dedup import distinct_shingles
 
 POSITION = 28
@@ -142,23 +142,15 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(bodies, pa.binary()).cast(pa.string())], ["v", "body"])
 
 
-def jaccard(width: int):
-    def score(left: pa.Array, right: pa.Array) -> np.ndarray:
-        rows, keys, sizes = [], [], np.zeros(len(left))
-        for column in (left, right):
-            for words in word_slices(column):
-                doc, h, _ = distinct_shingles(words, width)
-                rows.append(doc + words.first)
-                keys.append(h)
-                sizes += np.bincount(doc + words.first, minlength=len(left))
-        row, h = np.concatenate(rows), np.concatenate(keys)
-        order = np.lexsort((h, row))
-        row, h = row[order], h[order]
-        both = row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1])]
-        shared = np.bincount(both, minlength=len(left))
-        return shared / np.maximum(sizes - shared, 1)
+def plain_shingles(width: int) -> Features:
+    """Distinct shingles, all of one weight."""
 
-    return score
+    def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for words in word_slices(column):
+            doc, h, _ = distinct_shingles(words, width)
+            yield doc + words.first, h, np.ones(len(h))
+
+    return features
 
 
 def repeated_passages(
@@ -185,7 +177,8 @@ def repeated_passages(
     wanted = wanted.groupBy(F.col("kept.id").alias("id")).agg(F.collect_list(F.struct("h", F.col("kept.start").alias("start"), F.col("kept.n_words").alias("n_words"))).alias("spans"))
     bodies = texts.join(wanted, "id").select("text", "spans").mapInArrow(_bodies, "v long, body string")
     bodies = scratch.save(bodies.dropDuplicates(["v"]), "bodies")
-    labels = link_buckets(members, bodies, jaccard(width), threshold, scratch)
+    features = plain_shingles(width)
+    labels = link_buckets(members, bodies, jaccard(features), threshold, scratch, features)
     root = classes.join(labels.withColumnRenamed("id", "h"), "h", "left").select("h", "kept", F.coalesce("component", "h").alias("component"))
     keeper = root.groupBy("component").agg(F.min("kept").alias("kept"))
     root = root.select("h", "component").join(keeper, "component")

@@ -24,6 +24,26 @@ def shingles(words, k=5):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
 
 
+def brute_components(docs):
+    sets = {i: (shingles((t or "").lower().split()) or ({tuple((t or "").lower().split())} - {()})) for i, t in docs}
+    parent = {i: i for i, _ in docs}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    df = Counter(x for v in sets.values() for x in v)
+    weight = {x: 1 + math.log((1 + len(docs)) / (1 + c)) for x, c in df.items()}
+    mass = lambda v: sum(weight[x] for x in v)
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a & b and mass(a & b) / mass(a | b) >= 0.8:
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return {i: find(i) for i, _ in docs}
+
+
 def test_words_equal_a_plain_split():
     texts = ["Ab  cd\n", "", None, "é É x", "\x1f a\x0bb", "solo", "   ", "A b c d e f"]
     got = []
@@ -62,24 +82,24 @@ def test_near_duplicates_equal_brute_force(spark):
             n += 1
     docs += [(n, None), (n + 1, ""), (n + 2, " \n "), (n + 3, "One two"), (n + 4, "one  TWO"), (n + 5, " ".join(f"long{i}" for i in range(30_000)))]
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
-    sets = {i: (shingles((t or "").lower().split()) or ({tuple((t or "").lower().split())} - {()})) for i, t in docs}
-    parent = {i: i for i, _ in docs}
+    want = brute_components(docs)
+    assert got == want
+    assert got[n + 1] == n + 1 and got[n + 4] == n + 3
 
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
 
-    df = Counter(x for v in sets.values() for x in v)
-    weight = {x: 1 + math.log((1 + len(docs)) / (1 + c)) for x, c in df.items()}
-    mass = lambda v: sum(weight[x] for x in v)
-    for i, a in sets.items():
-        for j, b in sets.items():
-            if i < j and a & b and mass(a & b) / mass(a | b) >= 0.8:
-                x, y = sorted((find(i), find(j)))
-                parent[y] = x
-    assert got == {i: find(i) for i, _ in docs}
-    assert got[n + 1] == n + 1 and got[n + 4] == n + 3
+def test_a_large_group_of_near_copies_loses_no_link(spark):
+    rng = random.Random(12)
+    base, docs = prose(rng, 150), []
+    for i in range(260):  # copies of the original, most of them with edits of their own, some edited from another copy
+        words = list(docs[rng.randrange(i)][1].split() if i > 30 and rng.random() < 0.2 else base)
+        for _ in range(rng.choice([0, 0, 1, 2, 3, 5, 8])):
+            words[rng.randrange(len(words))] = f"own{i}x{rng.randrange(99)}"
+        docs.append((i, " ".join(words)))
+    rng.shuffle(docs)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    want = brute_components(docs)
+    assert got == want
+    assert 30 < len(set(want.values())) < 200
 
 
 def test_near_duplicates_of_odd_tables(spark):
@@ -132,7 +152,7 @@ def test_repeated_passages_are_found_wherever_they_stand(spark):
     near = list(paragraph)
     near[-1] = "changed"
     docs += [(40, " ".join(prose(rng, 50)) + "\n" + " ".join(paragraph)), (41, " ".join(near) + "\n" + " ".join(prose(rng, 50))), (42, None), (43, ""), (44, "few words"), (None, " ".join(passage))]
-    df = spark.createDataFrame(docs, "doc_id long, text string, start string").repartition(3)
+    df = spark.createDataFrame([(i, t, "start") for i, t in docs], "doc_id long, text string, start string").repartition(3)
     found = repeated_passages(df)
     rows = found.collect()
     assert {r.doc_id for r in rows} == set(range(3, 30, 3)) | {41}
