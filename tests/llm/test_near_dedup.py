@@ -162,8 +162,8 @@ def test_repeated_passages_are_found_wherever_they_stand(spark):
     texts = dict(docs)
     assert left[0] == texts[0] and left[1] == texts[1] and left[42] == ""
     for i in range(3, 30, 3):
-        gone = set(texts[i].split()) - set(left[i].split())
-        assert gone <= set(passage) and len(gone) >= 25
+        gone = Counter(texts[i].split()) - Counter(left[i].split())  # occurrences: a word may also stand elsewhere
+        assert set(gone) <= set(passage) and gone.total() >= 25
     assert repeated_passages(df.limit(0)).count() == 0
 
 
