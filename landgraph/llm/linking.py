@@ -78,15 +78,21 @@ def weights(payloads: DataFrame, features: Features) -> DataFrame:
 
 
 def lone_weights(payloads: DataFrame, features: Features) -> DataFrame:
-    """Rows (v, lone): the weight of the features that no other body has."""
+    """Rows (v, lone): the weight of the features that no other body has.
+
+    Features are counted within each slice of bodies first, so what a group has in common is
+    one row a slice, not one a body.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, h, weight in features(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(weight, pa.float32())], ["v", "h", "w"])
+                keys, at, n = np.unique(h, return_index=True, return_counts=True)
+                v = b.column(0).take(pa.array(row[at]))
+                yield pa.RecordBatch.from_arrays([v, pa.array(keys.view(np.int64)), pa.array(weight[at], pa.float32()), pa.array(n)], ["v", "h", "w", "n"])
 
-    each = payloads.select("v", "body").mapInArrow(run, "v long, h long, w float")
-    lone = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"), F.min("w").alias("w")).filter("n = 1")
+    each = payloads.select("v", "body").mapInArrow(run, "v long, h long, w float, n long")
+    lone = each.groupBy("h").agg(F.sum("n").alias("n"), F.min("v").alias("v"), F.min("w").alias("w")).filter("n = 1")
     return lone.groupBy("v").agg(F.sum("w").alias("lone"))
 
 
