@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from landgraph.llm.common import Scratch, components
 
-PIVOTS = (32, 256)  # pivots of a bucket in the rounds after the first, the last number from then on
+PIVOTS = (4, 256)  # pivots of a bucket in the second round, mostly originals, and in each later one
 LARGE = 64  # members of a bucket from which counting shared features pays
 
 #: Yields (rows, feature hashes, weights) for slices of a column of bodies, sorted by row and hash within each.
