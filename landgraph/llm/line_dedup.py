@@ -133,30 +133,27 @@ def _send(segments: int, min_chars: int):
 
 
 def _twice_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[int, tuple[Bloom, Bloom, list[np.ndarray]]] = {}
+    """Rows (segment, layers): the segment's twice-seen filter, which has every key met twice.
+
+    A key that the filter seems to have already sets no bits, but then tests positive in the
+    layers as they go out too: false positives add suspects and lose none.
+    """
+    seen: dict[int, tuple[Bloom, Bloom]] = {}
     for b in batches:
         for seg, once, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            first, second, found = seen.setdefault(seg, (Bloom(), Bloom(1 << 12), []))
+            first, second = seen.setdefault(seg, (Bloom(), Bloom(1 << 12)))
             once, more = np.frombuffer(once, np.uint64), np.frombuffer(more, np.uint64)
             hit = first.has(once)
             again = np.concatenate([once[hit], more])
-            again = again[~second.has(again)]
-            second.add(again)
-            found.append(again)
+            second.add(again[~second.has(again)])
             first.add(np.concatenate([once[~hit], more]))
-    out = []
-    for seg, (_, _, found) in seen.items():
-        keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        if len(keys):
-            exact = Bloom(len(keys))
-            exact.add(keys)
-            out.append((seg, exact.layers[0].tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["segment", "bits"])
+    out = [(seg, [x.tobytes() for x in second.layers]) for seg, (_, second) in seen.items() if second.layers]
+    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.list_(pa.binary()))], ["segment", "layers"])
 
 
 def _probe(segments: int, min_chars: int, shared):
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = {s: np.frombuffer(x, np.uint8) for s, x in shared.value.items()}
+        filters = {s: [np.frombuffer(x, np.uint8) for x in layers] for s, layers in shared.value.items()}
         for b in batches:
             for ids, keys, second in _keys(min_chars)([b]):
                 seg = (mix(keys) % np.uint64(segments)).astype(np.int64)
@@ -166,7 +163,8 @@ def _probe(segments: int, min_chars: int, shared):
                 for s, i, j in zip(names, starts, [*starts[1:], len(seg)][: len(names)], strict=True):
                     if s in filters:
                         at = order[i:j]
-                        keep[at] = Bloom.test(filters[s], keys[at])
+                        for layer in filters[s]:
+                            keep[at] |= Bloom.test(layer, keys[at])
                 yield pa.RecordBatch.from_arrays([ids.filter(pa.array(keep)), pa.array(keys[keep].view(np.int64)), pa.array(second[keep].view(np.int64))], ["id", "h1", "h2"])
 
     return probe
@@ -205,9 +203,9 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(texts.dtypes)["id"]
     sent = texts.mapInArrow(_send(segments, min_chars), "segment int, once binary, more binary")
-    filters = scratch.save(sent.repartition(segments, "segment").mapInArrow(_twice_seen, "segment int, bits binary"), "filters")
+    filters = scratch.save(sent.repartition(segments, "segment").mapInArrow(_twice_seen, "segment int, layers array<binary>"), "filters")
     slabs, room = [[]], slab_bytes
-    for seg, size in sorted((r[0], r[1]) for r in filters.select("segment", F.length("bits")).collect()):
+    for seg, size in sorted((r[0], r[1]) for r in filters.select("segment", F.expr("aggregate(layers, 0L, (n, x) -> n + length(x))")).collect()):
         if size > room and slabs[-1]:
             slabs.append([])
             room = slab_bytes
@@ -215,7 +213,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col:
         room -= size
     found = None
     for slab in slabs:
-        held = {r.segment: bytes(r.bits) for r in filters.filter(F.col("segment").isin(slab)).collect()} if slab else {}
+        held = {r.segment: [bytes(x) for x in r.layers] for r in filters.filter(F.col("segment").isin(slab)).collect()} if slab else {}
         part = texts.mapInArrow(_probe(segments, min_chars, spark.sparkContext.broadcast(held)), f"id {kind}, h1 long, h2 long")
         found = part if found is None else found.union(part)
     found = scratch.save(found, "suspected")

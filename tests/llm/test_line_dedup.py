@@ -48,6 +48,16 @@ def test_edges(spark):
     assert sorted(got, key=str) == sorted([(1, line), (1, line), (None, ""), (0, "")], key=str)
 
 
+def test_every_repeated_key_is_found(spark):
+    # one key, an odd number in few segments, and so many that the filters' false positives show
+    for n in (1, 3, 7, 60_001):
+        lines = [f"repeated line number {k} of {n}" for k in range(n)]
+        docs = [(i, "\n".join(lines[j::4])) for j in range(4) for i in range(3 * j, 3 * j + 3)]
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(12, "doc_id")
+        got = {r.doc_id: (r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in dedup_lines(df).collect()}
+        assert got == plain(docs)
+
+
 def test_bloom_has_no_false_negatives():
     keys = np.random.default_rng(0).integers(0, 1 << 63, 50_000).astype(np.uint64)
     b = Bloom(1 << 10)
