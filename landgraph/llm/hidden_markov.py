@@ -9,10 +9,10 @@ a unigram model.
 
 Documents are read once into chunks of whole texts: the chunk's distinct words (64-bit hashes)
 and its tokens as indices into them. Word counts are summed over chunks by a shuffle of
-distinct words only, and each chunk gets back its words' counts. Baum-Welch runs in rounds on
-disjoint folds of the training documents, each round on more of them, so that in the end
-every training document has been used once; each task sums its expected counts over its
-chunks and the sums are added in slices. Likelihoods are exact over whole texts: transfer
+distinct words only, and each chunk gets back its words' counts. Baum-Welch starts with a few
+steps on small disjoint folds of the training documents, whose counts are not kept, and then
+iterates over all training documents, every iteration taking its parameters from the whole
+sums; each task sums its expected counts over its chunks and the sums are added in slices. Likelihoods are exact over whole texts: transfer
 matrices of segments are multiplied with scaling, then chained for each document.
 
 Null texts are empty: one end token. A null id is training. Repeated rows are scored, and
@@ -33,7 +33,8 @@ from landgraph.llm.common import Scratch, slices, sum_vectors
 from landgraph.llm.hashing import word_slices
 
 PARTS, SEGMENT, FOLDS = 64, 64, 64
-ROUNDS = (1, 1, 2, 2, 4, 8, 16, 30)  # folds of each round, all of them in total
+WARM = ((0, 1), (1, 2), (2, 4), (4, 6))  # folds of the first steps
+ITERATIONS = 5  # over all folds
 
 
 def _chunks(id_type: pa.DataType, chunk_tokens: int):
@@ -227,7 +228,7 @@ def _expect(shared, lo: int, hi: int, symbols: int, width: int):
 
 
 def train(chunks: DataFrame, class_counts: np.ndarray, states: int, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, transitions, emissions) after the rounds; class_counts has the end's count last."""
+    """(start, transitions, emissions) after the warm start and the iterations; class_counts has the end's count last."""
     rng = np.random.default_rng(3)
     overall = (class_counts + 0.5) / (class_counts + 0.5).sum()
     emit = overall[:, None] * np.exp(rng.normal(0, 0.7, (symbols + 1, states)))
@@ -236,13 +237,10 @@ def train(chunks: DataFrame, class_counts: np.ndarray, states: int, symbols: int
     start = np.full(states, 1 / states)
     size = states + states * states + (symbols + 1) * states
     width = -(-size // PARTS) * PARTS
-    kept, lo = np.zeros(size), 0
-    for folds in ROUNDS:
+    for lo, hi in (*WARM, *[(0, FOLDS)] * ITERATIONS):
         shared = chunks.sparkSession.sparkContext.broadcast((start, a, emit))
-        sums = sum_vectors(chunks.select("folds", "held", "lengths", "vocabulary", "tokens").mapInArrow(_expect(shared, lo, lo + folds, symbols, width), "part int, data binary"), width, "float64")[:size]
-        lo += folds
-        kept = 0.3 * kept + sums
-        starts, moves, out = np.split(kept, [states, states + states * states])
+        sums = sum_vectors(chunks.select("folds", "held", "lengths", "vocabulary", "tokens").mapInArrow(_expect(shared, lo, hi, symbols, width), "part int, data binary"), width, "float64")[:size]
+        starts, moves, out = np.split(sums, [states, states + states * states])
         start = (starts + 0.1) / (starts + 0.1).sum()
         moves = moves.reshape(states, states) + 0.01 + 1.0 * np.eye(states)
         a = moves / moves.sum(1, keepdims=True)

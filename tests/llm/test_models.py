@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from landgraph.llm import hidden_markov
 from landgraph.llm.decontaminate import contaminated
 from landgraph.llm.hidden_markov import Segments, expected_counts, score_texts
 from landgraph.llm.nn_descent import near_vectors
@@ -134,6 +135,36 @@ def test_scores(spark):
     assert score_texts(d.limit(0), symbols=1024).count() == 0
 
 
+def test_training_iterates_over_all_documents(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(i, prose(rng, 40)) for i in range(150)]
+    sums, models = [], []
+
+    def recorded_sums(*args, add=hidden_markov.sum_vectors):
+        sums.append(add(*args))
+        return sums[-1]
+
+    def recorded_train(chunks, class_counts, states, symbols, fit=hidden_markov.train):
+        models.append((class_counts, fit(chunks, class_counts, states, symbols)))
+        return models[-1][1]
+
+    monkeypatch.setattr(hidden_markov, "sum_vectors", recorded_sums)
+    monkeypatch.setattr(hidden_markov, "train", recorded_train)
+    states, symbols = 3, 64
+    score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), states=states, symbols=symbols)
+    (class_counts, (start, _, emit)), = models
+    parts = [np.split(x[: states + states * states + (symbols + 1) * states], [states, states + states * states]) for x in sums]
+    whole = [abs(out.sum() - class_counts.sum()) < 1e-6 * class_counts.sum() for _, _, out in parts]
+    assert sum(whole) >= 3 and whole[-1]
+    # the last parameters are those of the last iteration's counts alone
+    starts, _, out = parts[-1]
+    assert abs(starts.sum() - class_counts[symbols]) < 1e-6 * starts.sum()
+    assert np.allclose(start, (starts + 0.1) / (starts + 0.1).sum())
+    overall = (class_counts + 0.5) / (class_counts + 0.5).sum()
+    out = out.reshape(symbols + 1, states) + 500 * overall[:, None]
+    assert np.allclose(emit, out / out.sum(0))
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = []
