@@ -6,9 +6,10 @@ the leader's ball. Members of a ball all link, by the triangle inequality, so a
 near copies is counted, not expanded. Among leaders, NN-descent refines a neighbour graph:
 each leader sees its neighbours' and reverse neighbours' vectors together (the local join)
 and learns pairs with at least one new edge, until few lists change. Lists that hold only
-vectors near enough to link are saturated and are enlarged. A stated set of leaders is then
-searched by brute force, in blocks, and while the recall of links falls short, new random
-orders seed the graph again. Pairs of leaders near enough for any link of their balls are
+vectors near enough to link are saturated and are enlarged; leaders whose lists are still
+saturated after the rounds are compared with all leaders, in blocks. A stated set of leaders is
+searched by brute force, and while the recall of links falls short, new random orders seed the
+graph again; a recall that falls short to the end is an error. Pairs of leaders near enough for any link of their balls are
 resolved: by the triangle inequality where that decides, else member against member, in
 blocks, in double precision.
 
@@ -149,7 +150,6 @@ def _local_join(best: int):
             sim[sim <= low[:, None]] = -2
             k = min(best, len(i))
             top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            # every pair that reaches the linking range is kept as well
             rows = np.repeat(np.arange(len(i)), k)
             cols = top.ravel()
             good = sim[rows, cols] > -2
@@ -209,12 +209,48 @@ def descend(leaders: DataFrame, dim: int, cut: float, scratch: Scratch, *, k: in
         merged = graph.select("u", "v", "sim").withColumn("new", F.lit(False)).union(found.select("u", "v", "sim", "new"))
         graph = scratch.save(_top(merged, lists.select(F.col("u").alias("v"), "k")), f"graph{step}")
         changed = graph.agg(F.count_if("new").alias("new"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("new") & (F.col("sim") >= cut)).alias("near")).first()
-        if changed.new <= 0.01 * max(1, changed.n) or (step >= 3 and not changed.near):
-            got = audit(leaders, graph, cut, sample)
-            if got >= recall or step == rounds:
+        if step < rounds and (changed.new <= 0.01 * max(1, changed.n) or (step >= 3 and not changed.near)):
+            if audit(leaders, graph, cut, sample) >= recall:
                 break
             graph = scratch.save(_top(graph.select("u", "v", "sim", "new").union(seeds(leaders, dim, 100 + step).withColumn("new", F.lit(True))), lists.select(F.col("u").alias("v"), "k")), f"again{step}")
-    return graph.select("u", "v", "sim")
+    graph = graph.select("u", "v", "sim")
+    # a list without room for another vector near enough to link may have lost some
+    full = scratch.save(_saturated(graph, scratch.spark.read.parquet(scratch.path(f"lists{step}")), cut), "saturated")
+    if not full.isEmpty():
+        graph = scratch.save(graph.union(against_all(leaders, full, cut, scratch)).groupBy("u", "v").agg(F.max("sim").alias("sim")), "whole")
+    got = audit(leaders, graph, cut, sample)
+    if got < recall:
+        raise RuntimeError(f"recall of links {got:.4f} on {sample} leaders after {step} rounds, below {recall}")
+    return graph
+
+
+def _saturated(graph: DataFrame, lists: DataFrame, cut: float) -> DataFrame:
+    """(v): vertices whose lists are full of vectors with sim >= cut."""
+    held = graph.groupBy("u").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("n"))
+    return held.join(lists.select("u", "k"), "u").filter((F.col("n") >= F.col("k")) & (F.col("least") >= cut)).select(F.col("u").alias("v"))
+
+
+def against_all(leaders: DataFrame, some: DataFrame, cut: float, scratch: Scratch, block: int = 4096) -> DataFrame:
+    """(u, v, sim): all leaders with sim >= cut of each of some (v), by brute force; a block of them is broadcast at a time."""
+    rows = leaders.join(some, "v").select("v", "x")
+    spark, done, held = leaders.sparkSession, [], []
+
+    def search(held: list) -> None:
+        queries = np.frombuffer(b"".join(bytes(r.x) for r in held), np.float64).reshape(len(held), -1).astype(np.float32)
+        shared = spark.sparkContext.broadcast((np.array([r.v for r in held]), queries))
+        done.append(scratch.save(leaders.select("v", "x").mapInArrow(_search(shared, cut), NEAR), f"all{len(done)}"))
+
+    for r in rows.toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            search(held)
+            held = []
+    if held:
+        search(held)
+    out = done[0]
+    for x in done[1:]:
+        out = out.union(x)
+    return out
 
 
 def _top(edges: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -230,10 +266,11 @@ def _search(shared, cut: float):
         for b in batches:
             for lo in range(0, len(b), 4096):
                 part = b.slice(lo, 4096)
-                i, j = np.nonzero(queries @ matrix(part.column(1), "float32").T >= cut)
+                sim = queries @ matrix(part.column(1), "float32").T
+                i, j = np.nonzero(sim >= cut)
                 own = part.column(0).to_numpy()
                 keep = ids[i] != own[j]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i][keep]), pa.array(own[j][keep])], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i][keep]), pa.array(own[j][keep]), pa.array(sim[i, j][keep])], ["u", "v", "sim"])
 
     return run
 
@@ -246,7 +283,7 @@ def audit(leaders: DataFrame, graph: DataFrame, cut: float, sample: int) -> floa
     queries = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float64).reshape(len(rows), -1).astype(np.float32)
     ids = np.array([r.v for r in rows])
     shared = leaders.sparkSession.sparkContext.broadcast((ids, queries))
-    true = leaders.select("v", "x").mapInArrow(_search(shared, cut), "u long, v long")
+    true = leaders.select("v", "x").mapInArrow(_search(shared, cut), NEAR)
     have = graph.select("u", "v", F.lit(1).alias("have")).union(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(1))).distinct()
     got = true.join(have, ["u", "v"], "left").agg(F.count("have").alias("have"), F.count(F.lit(1)).alias("n")).first()
     return got.have / got.n if got.n else 1.0

@@ -13,7 +13,8 @@ import pytest
 from landgraph.llm import hidden_markov
 from landgraph.llm.decontaminate import contaminated
 from landgraph.llm.hidden_markov import Segments, expected_counts, score_texts
-from landgraph.llm.nn_descent import near_vectors
+from landgraph.llm.common import Scratch
+from landgraph.llm.nn_descent import descend, near_vectors
 from landgraph.llm.quality import classify
 
 
@@ -165,6 +166,16 @@ def test_training_iterates_over_all_documents(spark, monkeypatch):
     assert np.allclose(emit, out / out.sum(0))
 
 
+def test_saturated_lists_lose_no_links(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=16) * 4 + rng.normal(size=(150, 16)) * 0.3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    leaders = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "v long, x binary")
+    got = {(r.u, r.v) for r in descend(leaders, 16, 0.95, Scratch(spark, "saturated"), rounds=1).filter("sim >= 0.95").collect()}
+    want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.95), strict=True) if i != j}
+    assert len(want) > 150 * 100 and all((j, i) in got or (i, j) in got for i, j in want)
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = []
