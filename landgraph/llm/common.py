@@ -35,6 +35,20 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def bucketed(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """A saved table in buckets of `key`: joins and groupings on it shuffle nothing of this side.
+
+        The rows should be partitioned by `key` already, so that each task writes its own buckets.
+        """
+        table = f"{self.root.rsplit('/', 1)[1].replace('-', '_')}_{name}"
+        buckets = shuffle_partitions(self.spark)
+        df.write.mode("overwrite").format("parquet").option("compression", "zstd").option("path", self.path(name)).bucketBy(buckets, key).saveAsTable(table)
+        return self.spark.table(table)
+
+    def drop_bucketed(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.root.rsplit('/', 1)[1].replace('-', '_')}_{name}")
+        self.drop(name)
+
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -105,4 +119,5 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         scratch.drop(f"{name}_l{step - 1}")
         labels = moved.select("id", "label")
         if moved.filter("label <> was").isEmpty():
+            scratch.drop(f"{name}_edges")
             return labels.withColumnRenamed("label", "component")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from landgraph.llm.common import Scratch, slices, sum_vectors
 from landgraph.llm.hashing import STEP, Words, mix, sequence_hash, word_slices
-from landgraph.llm.linking import Features, jaccard, link_buckets
+from landgraph.llm.linking import Features, link_buckets
 
 BITS = 20
 PARTS = 64
@@ -142,11 +142,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     each = classes.filter("v is not null").select(F.col("v").cast("long").alias("v"), F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = scratch.save(each.join(shared, "bucket"), "members0")
-    wanted = members.select("v").distinct()
-    bodies = texts.filter("id is not null").withColumn("v", F.col("id").cast("long")).join(wanted, "v").select("v", F.col("text").alias("body"))
-    bodies = scratch.save(bodies, "bodies")
-    features = weighted_shingles(width, idf)
-    labels = link_buckets(members, bodies, jaccard(features), threshold, scratch, features)
+    wanted = members.select("v").distinct().hint("merge")  # the join leaves the texts partitioned by v
+    bodies = texts.filter("id is not null").withColumn("v", F.col("id").cast("long")).join(wanted, "v", "left_semi").select("v", F.col("text").alias("body"))
+    labels = link_buckets(members, bodies, threshold, scratch, weighted_shingles(width, idf))
+    scratch.drop("members0")
     root = classes.join(labels.withColumnRenamed("id", "v"), "v", "left").select("c1", "c2", F.coalesce("component", "v").alias("component_id"))
     found = signs.select("id", "c1", "c2").join(root, ["c1", "c2"]).select("id", "component_id")
     # texts without shingles have no signature

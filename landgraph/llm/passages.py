@@ -3,14 +3,20 @@
 Units are paragraphs (lines) of at least `min_words` words, and, for passages pasted into the
 middle of paragraphs, windows of `window` words at content-defined anchors: the least hash of
 each run of `window` word trigrams, so that any repeated run of 2 * window words holds a whole
-common window wherever it stands. Equal units are one vertex by a 64-bit hash of their words.
+common window wherever it stands. Equal windows that continue each other are one span, which
+grows word by word to both sides as long as it equals the kept occurrence: the whole repeat
+goes, not only its windows. A second hash over the span must agree as well, so an equality
+rests on 128 bits.
+
 Paragraphs are signed by MinHash over five-word shingles; the number of bands is the smallest
 with the asked recall at the threshold. Paragraphs that share a band are compared by exact
 Jaccard similarity of their shingles and clustered by connected components. In each component
 the first occurrence (smallest id, then position) stays; every other one is a removal.
 
 Null and empty texts have no units. Rows that share an id are one document whose occurrences
-at the same position are one. Occurrences with a null id are never removed or kept from.
+at the same position are one. Occurrences with a null id are never removed or kept from. Ties
+go to the smaller id, then to the earlier position. Texts are read whole, however long; other
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -20,15 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgraph.llm.common import Scratch
 from landgraph.llm.hashing import STEP, Words, _powers, mix, word_slices
-from landgraph.llm.linking import Features, jaccard, link_buckets
+from landgraph.llm.linking import Features, link_buckets
 from landgraph.llm.near_dedup import distinct_shingles
 
-POSITION = 28
+POSITION = 28  # bits of a word's place in a slice of texts; longer slices are refused
+AROUND = 28  # words around a span in which it may grow: anchors lie at most `window` words apart
 
 
 def tune_bands(threshold: float, rows: int, recall: float) -> int:
@@ -52,6 +60,8 @@ def anchored_windows(words: Words, window: int) -> np.ndarray:
     h, doc, n = words.hash, words.doc, len(words.hash)
     if n < window + 2:
         return np.zeros(0, np.int64)
+    if n >> POSITION:
+        raise ValueError(f"a text of over {1 << POSITION} words")
     grams = mix((h[:-2] * STEP + h[1:-1]) * STEP + h[2:])
     packed = (grams & ~np.uint64((1 << POSITION) - 1)) | np.arange(len(grams), dtype=np.uint64)
     low = _least(packed, window)
@@ -70,10 +80,12 @@ def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(lines))
 
 
-def span_hash(words: Words, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(words: Words, first: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of runs of words; another salt gives independent ones."""
     up, down = _powers(len(words.hash) + 1)
     sums = np.zeros(len(words.hash) + 1, np.uint64)
-    np.cumsum(words.hash * up[: len(words.hash)], out=sums[1:])
+    each = mix(words.hash ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if salt else words.hash
+    np.cumsum(each * up[: len(words.hash)], out=sums[1:])
     return mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
 
 
@@ -126,20 +138,62 @@ def _units(window: int, min_words: int, width: int, bands: int, rows: int):
     return run
 
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of paragraphs (h, start, n_words) of a document."""
+def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For spans (paragraph, start, n_words, h) of a document: a paragraph's text; a passage's surroundings and second hash."""
     for b in batches:
-        spans = b.column(1).to_pylist()
-        for words in word_slices(b.column(0)):
-            hs, bodies = [], []
-            for d in range(words.docs):
-                for s in spans[words.first + d]:
-                    i = words.bounds[d] + s["start"]
-                    j = i + s["n_words"]
-                    if j <= words.bounds[d + 1]:
-                        hs.append(s["h"])
-                        bodies.append(words.data[words.start[i] : words.end[j - 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(bodies, pa.binary()).cast(pa.string())], ["v", "body"])
+        n = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+        bounds, flat = np.concatenate([[0], np.cumsum(n)]), b.column(2).flatten()
+        paragraph, start, size, h = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        for words in word_slices(b.column(1)):
+            of = slice(words.first, words.first + words.docs)
+            here = np.arange(bounds[of.start], bounds[of.stop])
+            doc = np.repeat(np.arange(words.docs), n[of])
+            i = words.bounds[doc] + start[here]
+            j = i + size[here]
+            good = j <= words.bounds[doc + 1]  # rows that share an id may be shorter texts
+            here, doc, i, j = here[good], doc[good], i[good], j[good]
+            short = (words.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # 0 is no word
+            steps = np.arange(AROUND)
+
+            def around(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+                inside = (at >= lo[:, None]) & (at < hi[:, None])
+                return [x.tobytes() for x in np.where(inside, short[np.clip(at, 0, len(short) - 1)], 0).astype(np.uint32)]
+
+            first, last = words.bounds[doc], words.bounds[doc + 1]
+            is_text = paragraph[here].astype(bool)
+            texts = [words.data[words.start[x] : words.end[y - 1]].tobytes().decode() if t else None for x, y, t in zip(i, j, is_text, strict=True)]
+            p = np.flatnonzero(~is_text)
+            before, after = np.full(len(here), None, object), np.full(len(here), None, object)
+            if len(p):
+                before[p] = around(i[p, None] - 1 - steps, first[p], last[p])
+                after[p] = around(j[p, None] + steps, first[p], last[p])
+            check = span_hash(words, i, j, salt=1) if len(here) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).take(pa.array(doc + words.first)), pa.array(is_text), pa.array(start[here], pa.int32()), pa.array(size[here], pa.int32()), pa.array(h[here], pa.int64()),
+                    pa.array(texts, pa.string()), pa.array(before.tolist(), pa.binary()), pa.array(after.tolist(), pa.binary()), pa.array(check.view(np.int64)),
+                ],
+                ["id", "paragraph", "start", "n_words", "v", "body", "before", "after", "check"],
+            )
+
+
+def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans and their kept occurrence, longer by the words that both have before and after."""
+    for b in batches:
+        names = b.schema.names
+        if not len(b):
+            continue
+
+        def common(which: str, b: pa.RecordBatch = b) -> np.ndarray:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(len(b), AROUND) for c in (which, f"kept_{which}"))
+            same = (x == y) & (x > 0)
+            return np.where(same.all(1), AROUND, same.argmin(1))
+
+        start, size, kept = (b.column(c).to_numpy() for c in ("start", "n_words", "kept_start"))
+        left, right = common("before"), common("after")
+        own = b.column("own").to_numpy(zero_copy_only=False).astype(bool)
+        left = np.where(own, np.minimum(left, np.maximum(start - kept - size, 0)), left)  # not into the kept occurrence
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(start - left, pa.int32()), pa.array(size + left + right, pa.int32()), b.column(names.index("kept_id")), pa.array(kept - left, pa.int32())], ["id", "start", "n_words", "kept_id", "kept_start"])
 
 
 def plain_shingles(width: int) -> Features:
@@ -163,25 +217,44 @@ def repeated_passages(
     units = texts.mapInArrow(_units(window, min_words, width, bands, rows), f"id {kind}, paragraph boolean, start int, n_words int, h long, bands array<long>")
     units = scratch.save(units, "units")
     place = F.struct("id", "start")
-    windows = units.filter("not paragraph").select("id", "start", "n_words", "h")
-    first = windows.groupBy("h").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    again = windows.join(first, "h").filter(place != F.col("kept"))
-    again = again.select("id", F.lit(False).alias("paragraph"), "start", "n_words", F.col("h").alias("component"), "kept")
-
-    lines = units.filter("paragraph").drop("paragraph")
+    windows = units.filter("not paragraph").select("id", "start", "h")
+    # tables of their own, so that joins on them may split the rows of a common passage
+    first = scratch.save(windows.groupBy("h").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "first")
+    again = windows.join(first, "h").filter(place != F.col("kept")).select("id", "start", F.col("kept.id").alias("kept_id"), F.col("kept.start").alias("kept_start")).distinct()
+    line = Window.partitionBy("id", "kept_id", "shift").orderBy("start")
+    again = again.withColumn("shift", F.col("start") - F.col("kept_start"))
+    again = again.withColumn("breaks", F.coalesce(F.col("start") > F.lag("start").over(line) + window, F.lit(True)).cast("int")).withColumn("island", F.sum("breaks").over(line))
+    spans = again.groupBy("id", "kept_id", "shift", "island").agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + window).alias("n_words"))
+    spans = scratch.save(spans.select("id", "start", "n_words", "kept_id", (F.col("start") - F.col("shift")).alias("kept_start")), "spans")
+
+    lines = scratch.save(units.filter("paragraph").drop("paragraph"), "lines")
+    scratch.drop("units")
+    scratch.drop("first")
     classes = scratch.save(lines.groupBy("h").agg(F.min(F.struct("id", "start", "n_words")).alias("kept"), F.first("bands").alias("bands")), "classes")
     each = classes.select(F.col("h").alias("v"), F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = scratch.save(each.join(shared, "bucket"), "members0")
-    wanted = members.select(F.col("v").alias("h")).distinct().join(classes.select("h", "kept"), "h")
-    wanted = wanted.groupBy(F.col("kept.id").alias("id")).agg(F.collect_list(F.struct("h", F.col("kept.start").alias("start"), F.col("kept.n_words").alias("n_words"))).alias("spans"))
-    bodies = texts.join(wanted, "id").select("text", "spans").mapInArrow(_bodies, "v long, body string")
-    bodies = scratch.save(bodies.dropDuplicates(["v"]), "bodies")
-    features = plain_shingles(width)
-    labels = link_buckets(members, bodies, jaccard(features), threshold, scratch, features)
+    # one reading of the texts: paragraphs to compare, and the surroundings of spans; a document's own distinct places
+    wanted = members.select(F.col("v").alias("h")).distinct().join(classes.select("h", "kept"), "h").select("kept.id", F.lit(True).alias("paragraph"), "kept.start", "kept.n_words", "h")
+    edges = spans.select("id", "start", "n_words").union(spans.select("kept_id", "kept_start", "n_words")).distinct()
+    wanted = wanted.union(edges.select("id", F.lit(False), "start", "n_words", F.lit(0).cast("long")))
+    wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("paragraph", "start", "n_words", "h")).alias("spans"))
+    reads = texts.join(wanted, "id").select("id", "text", "spans").mapInArrow(_reads, f"id {kind}, paragraph boolean, start int, n_words int, v long, body string, before binary, after binary, check long")
+    reads = scratch.save(reads, "reads")
+
+    about = reads.filter("not paragraph").select("id", "start", "n_words", "before", "after", "check").distinct()
+    kept = about.select(*(F.col(c).alias(f"kept_{c}") for c in ("id", "start", "before", "after", "check")), "n_words")
+    both = spans.join(about, ["id", "start", "n_words"]).join(kept, ["kept_id", "kept_start", "n_words"]).filter("check = kept_check")
+    both = both.select("id", "start", "n_words", "kept_id", "kept_start", "before", "after", "kept_before", "kept_after", (F.col("id") == F.col("kept_id")).alias("own"))
+    whole = both.mapInArrow(_grow, f"id {kind}, start int, n_words int, kept_id {kind}, kept_start int").distinct()
+    again = whole.select("id", F.lit(False).alias("paragraph"), "start", "n_words", F.xxhash64("kept_id", "kept_start").alias("component"), F.struct(F.col("kept_id").alias("id"), F.col("kept_start").alias("start")).alias("kept"))
+
+    bodies = reads.filter("paragraph").select("v", "body").dropDuplicates(["v"])
+    labels = link_buckets(members, bodies, threshold, scratch, plain_shingles(width))
     root = classes.join(labels.withColumnRenamed("id", "h"), "h", "left").select("h", "kept", F.coalesce("component", "h").alias("component"))
-    keeper = root.groupBy("component").agg(F.min("kept").alias("kept"))
-    root = root.select("h", "component").join(keeper, "component")
+    root = scratch.save(root, "root")
+    keeper = scratch.save(root.groupBy("component").agg(F.min("kept").alias("kept")), "keeper")
+    root = scratch.save(root.select("h", "component").join(keeper, "component"), "roots")
     near = lines.join(root, "h").filter(place != F.struct("kept.id", "kept.start"))
     near = near.select("id", F.lit(True).alias("paragraph"), "start", "n_words", "component", F.struct("kept.id", "kept.start").alias("kept"))
     out = again.unionByName(near)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from landgraph.llm.common import Scratch, components
 from landgraph.llm.hashing import sequence_hash, word_slices
-from landgraph.llm.linking import link_buckets
+from landgraph.llm.linking import link_buckets, plausible, profiled
 from landgraph.llm.near_dedup import Sampler, near_duplicates
-from landgraph.llm.passages import _least, repeated_passages, tune_bands, without_passages
+from landgraph.llm.passages import _least, plain_shingles, repeated_passages, tune_bands, without_passages
 
 
 def prose(rng, n):
@@ -111,11 +111,10 @@ def test_near_duplicates_of_odd_tables(spark):
 
 def test_links_of_buckets_lose_nothing(spark):
     rng = random.Random(9)
-    at = {i: rng.randrange(1000) / 1000 for i in range(150)}  # points on a line: distance is a metric
+    at = {i: rng.randrange(600) for i in range(150)}  # bodies are runs of 60 numbered words; similarity falls with the distance
     members = spark.createDataFrame([(i % 2, i) for i in at] + [(7, i) for i in range(40)], "bucket long, v long")
-    bodies = spark.createDataFrame([(i, str(x)) for i, x in at.items()], "v long, body string")
-    score = lambda a, b: 1 - np.abs(np.array(a.to_pylist(), float) - np.array(b.to_pylist(), float))
-    got = {r.id: r.component for r in link_buckets(members, bodies, score, 0.97, Scratch(spark, "t")).collect()}
+    bodies = spark.createDataFrame([(i, " ".join(f"w{x + k}" for k in range(60))) for i, x in at.items()], "v long, body string")
+    got = {r.id: r.component for r in link_buckets(members, bodies, 0.9, Scratch(spark, "t"), plain_shingles(1)).collect()}
     parent = {i: i for i in at}
 
     def find(i):
@@ -125,12 +124,27 @@ def test_links_of_buckets_lose_nothing(spark):
 
     for i in at:
         for j in at:
-            if i < j and (i % 2 == j % 2 or j < 40) and 1 - abs(at[i] - at[j]) >= 0.97:
+            far = abs(at[i] - at[j])
+            if i < j and (i % 2 == j % 2 or j < 40) and (60 - far) / (60 + far) >= 0.9:
                 x, y = sorted((find(i), find(j)))
                 parent[y] = x
     assert {i: got.get(i, i) for i in at} == {i: find(i) for i in at}
 
 
+def test_the_bound_by_profiles_rules_out_no_similar_pair(spark):
+    rng = random.Random(2)
+    texts = []
+    for k in range(60):
+        base = prose(rng, rng.choice([5, 40, 400]))
+        texts += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: int(len(base) * 0.9)] + prose(rng, len(base) // 20)))]
+    bodies = profiled(spark.createDataFrame(texts, "v long, body string"), plain_shingles(1))
+    pairs = spark.createDataFrame([(2 * i, j) for i in range(60) for j in range(1, 120, 2)], "a long, b long")
+    got = {(r.a, r.b) for r in plausible(pairs, bodies, 0.8).collect()}
+    sets = {v: set(t.split()) for v, t in texts}
+    want = {(2 * i, j) for i in range(60) for j in range(1, 120, 2) if len(sets[2 * i] & sets[j]) / len(sets[2 * i] | sets[j]) >= 0.8}
+    assert want <= got and len(got) < 3 * len(want)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.id: r.component for r in components(edges, Scratch(spark, "t"), "c").collect()}
@@ -163,7 +177,7 @@ def test_repeated_passages_are_found_wherever_they_stand(spark):
     assert left[0] == texts[0] and left[1] == texts[1] and left[42] == ""
     for i in range(3, 30, 3):
         gone = Counter(texts[i].split()) - Counter(left[i].split())  # occurrences: a word may also stand elsewhere
-        assert set(gone) <= set(passage) and gone.total() >= 25
+        assert gone == Counter(passage)  # the whole passage, not only its windows
     assert repeated_passages(df.limit(0)).count() == 0
 
 
