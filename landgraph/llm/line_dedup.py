@@ -8,7 +8,8 @@ choice of the occurrence that stays.
 
 Null or empty texts are one empty line. Each row counts as a document; rows that share the
 largest id of a key all keep its line. A null id keeps a line only where every holder's id is
-null. Other columns pass through, whatever their names.
+null. Texts are read whole, however long; an empty table gives an empty result. Other columns
+pass through, whatever their names, but for n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ class Bloom:
 
     def __init__(self, capacity: int = 1 << 14):
         self.layers: list[np.ndarray] = []
-        self.capacity, self.left = capacity // 2, 0
+        self.capacity, self.left = max(1, capacity // 2), 0
 
     @staticmethod
     def places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -218,6 +219,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col:
         found = part if found is None else found.union(part)
     found = scratch.save(found, "suspected")
     counts = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
+    counts = scratch.save(counts, "confirmed")  # a table of its own, so that the join may split the rows of a common line
     return found.join(counts, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "h1", "h2")
 
 
