@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landgraph.llm.common import Scratch, slices, sum_vectors
@@ -115,7 +115,7 @@ class Segments:
     def transfers(self, a: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scaled products of A diag(b) over each segment, and the logs of the scales."""
         n, s = len(self.size), len(a)
-        m = np.broadcast_to(np.eye(s), (n, s, s)).copy()
+        m = np.broadcast_to(np.eye(s, dtype=a.dtype), (n, s, s)).copy()
         logs = np.zeros(n)
         for t in range(SEGMENT):
             k = self.active(t)
@@ -131,7 +131,7 @@ class Segments:
     def chain(self, m: np.ndarray, logs: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood of each document, and the scaled forward vector before each segment."""
         v = np.broadcast_to(start, (self.n_docs, len(start))).copy()
-        total, before = np.zeros(self.n_docs), np.empty((len(m), len(start)))
+        total, before = np.zeros(self.n_docs), np.empty((len(m), len(start)), m.dtype)
         for k in range(int(self.per_doc.max(initial=0))):
             docs = self.by_segments[: np.searchsorted(-self.per_doc[self.by_segments], -k, side="left")]
             at = self.back[self.first[docs] + k]
@@ -144,8 +144,8 @@ class Segments:
 
     def after(self, m: np.ndarray) -> np.ndarray:
         """The scaled backward vector behind each segment."""
-        out = np.empty((len(m), m.shape[1]))
-        v = np.ones((self.n_docs, m.shape[1]))
+        out = np.empty((len(m), m.shape[1]), m.dtype)
+        v = np.ones((self.n_docs, m.shape[1]), m.dtype)
         for k in range(int(self.per_doc.max(initial=0)) - 1, -1, -1):
             docs = self.by_segments[: np.searchsorted(-self.per_doc[self.by_segments], -k, side="left")]
             at = self.back[self.first[docs] + k]
@@ -162,7 +162,7 @@ def expected_counts(seg: Segments, start: np.ndarray, a: np.ndarray, emit: np.nd
     _, before = seg.chain(m, logs, start)
     beta = seg.after(m)
     n = len(seg.size)
-    alpha = np.empty((SEGMENT + 1, n, s))
+    alpha = np.empty((SEGMENT + 1, n, s), a.dtype)
     alpha[0] = before
     for t in range(SEGMENT):
         k = seg.active(t)
@@ -211,6 +211,8 @@ def _docs_of(row: dict, wanted: np.ndarray, symbols: int) -> tuple[np.ndarray, n
 def _expect(shared, lo: int, hi: int, symbols: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, a, emit = shared.value
+        # posteriors do not change with a symbol's scale; relative to its largest, emissions fit single precision
+        start, a, emit = (x.astype(np.float32) for x in (start, a, emit / emit.max(1, keepdims=True)))
         sums, some = np.zeros(width), False
         for b in batches:
             for i in range(len(b)):
@@ -282,7 +284,7 @@ def _judge(shared, symbols: int, id_type: pa.DataType):
     return run
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", states: int = 8, symbols: int = 16_384, chunk_tokens: int = 400_000) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", states: int = 8, symbols: int = 16_384, chunk_tokens: int = 1_600_000) -> DataFrame:
     """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score); scores are log10 probabilities."""
     scratch = Scratch(docs.sparkSession, "hmm")
     digest = F.crc32(F.col(id_col).cast("string").cast("binary"))
@@ -292,11 +294,11 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     schema = f"chunk long, ids array<{kind}>, held array<boolean>, folds array<int>, lengths array<int>, vocabulary binary, tokens binary, counts binary"
     chunks = scratch.save(rows.mapInArrow(_chunks(id_type, chunk_tokens), schema), "chunks")
     words = chunks.select("chunk", "vocabulary", "counts").mapInArrow(_vocabulary, "chunk long, place int, h long, n int")
-    same = Window.partitionBy("h")
-    counts = words.select("chunk", "place", "h", "n", F.sum("n").over(same).alias("c"), F.min("chunk").over(same).alias("first"))
-    new = (F.col("chunk") == F.col("first")) & (F.col("c") > 0)
-    counts = scratch.save(counts.select("chunk", "place", "n", "c", new.cast("int").alias("new"), F.pmod(F.col("h"), F.lit(symbols)).cast("int").alias("symbol")), "counts")
-    per_class = counts.groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("new").alias("new")).collect()  # `symbols` rows at most
+    # sums of a word's counts meet its rows in a join, not in a window: a frequent word may be split
+    sums = scratch.save(words.groupBy("h").agg(F.sum("n").alias("c")), "sums")
+    counts = scratch.save(words.select("chunk", "place", "h").join(sums.filter("c > 0"), "h").select("chunk", "place", "c"), "counts")
+    symbol = F.pmod(F.col("h"), F.lit(symbols)).cast("int").alias("symbol")
+    per_class = sums.filter("c > 0").groupBy(symbol).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("new")).collect()  # `symbols` rows at most
     class_counts, class_words = np.zeros(symbols + 1), np.zeros(symbols + 1)
     for r in per_class:
         class_counts[r.symbol], class_words[r.symbol] = r.n, r.new
@@ -306,5 +308,5 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     model = train(chunks, class_counts, states, symbols)
     shared = docs.sparkSession.sparkContext.broadcast((model, class_counts, class_words, n, v, n_docs))
     out = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = chunks.groupBy("chunk").cogroup(counts.select("chunk", "place", "c").groupBy("chunk")).applyInArrow(_judge(shared, symbols, id_type), out)
+    scored = chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_judge(shared, symbols, id_type), out)
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
