@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +14,11 @@ LEGAL_SUFFIXES = ("INCORPORATED", "CORPORATION", "LIMITED PARTNERSHIP", "LIMITED
 PHONE = r"(?:\+?1[-. ])?\(?([2-9][0-9]{2})\)?[-. ]([0-9]{3})[-. ]([0-9]{4})"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeezed(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
@@ -66,6 +73,11 @@ def contains_word(x: Column, words: tuple[str, ...]) -> Column:
     return F.arrays_overlap(F.split(F.upper(x), r"[^A-Z0-9]+"), F.array(*(F.lit(w.upper()) for w in words)))
 
 
+def contains_any(x: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the words stands anywhere in x, case counting."""
+    return x.rlike("|".join(map(re.escape, words)))
+
+
 def tags(x: Column, rules: dict[str, str]) -> Column:
     """Names of the rules (name -> pattern) that x meets."""
     return F.array_compact(F.array(*(F.when(x.rlike(p), F.lit(n)) for n, p in rules.items())))

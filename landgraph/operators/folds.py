@@ -50,6 +50,12 @@ def islands(df: DataFrame, key: list[str], order: list[str], breaks: Column, nam
     return df.withColumn(name, F.sum(F.coalesce(breaks, F.lit(True)).cast("int")).over(w))
 
 
+def sampled_counts(df: DataFrame, rank: Column, key: str, step: int, name: str) -> DataFrame:
+    """Counts by key from every step-th record of a rank, scaled by the step."""
+    rows = df.filter(F.pmod(rank, F.lit(step)) == 0)
+    return rows.groupBy(key).agg((F.count(F.lit(1)) * step).alias(name))
+
+
 def registered_ids(keys: DataFrame, registry: DataFrame, key: str, first: str, fmt: str) -> DataFrame:
     """(key, n, id): ids already given stay, new keys get the next numbers in order of first sight."""
     top = registry.agg(F.coalesce(F.max("n"), F.lit(0)).alias("__top"))

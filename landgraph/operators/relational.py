@@ -43,6 +43,11 @@ def tallies(df: DataFrame, *keys: str) -> DataFrame:
     return sets.select(dimension.alias("dimension"), F.coalesce(*keys).alias("value"), "n")
 
 
+def pending(status: Column, retry: Column) -> Column:
+    """Records without a status, and failed ones to be tried again."""
+    return status.isNull() | ((status == "failed") & retry)
+
+
 def share_of_largest(counts: DataFrame, n: str = "n") -> DataFrame:
     """n / max(n): the largest comes from a one-row aggregate, not from a window over all rows."""
     most = counts.agg(F.max(n).alias("__most"))
@@ -74,9 +79,16 @@ def pipeline_stages(stages: list[str], rows: DataFrame, stage: str, amount: str,
 
 
 def ranked_ids(df: DataFrame, order: list[Column], fmt: str, name: str) -> DataFrame:
-    """Dense ids by sort order, without a single-task window: range partitions, then offsets per partition."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    inside = ordered.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    """Dense ids by sort order, without a single-task window: range partitions, then offsets per partition.
+
+    The ranges are written once to the shared folder, so both readings see the same ones, and
+    each is numbered in place.
+    """
+    from landgraph.sources.files import checkpointed
+
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()  # partition in the upper bits, row from 0 in the lower 33
+    inside = checkpointed(ordered.withColumns({"__part": F.shiftright(place, 33), "__at": place.bitwiseAND(F.lit((1 << 33) - 1)) + 1}))
     sizes = inside.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     return inside.join(F.broadcast(offsets), "__part").withColumn(name, F.format_string(fmt, F.col("__at") + F.col("__before"))).drop("__part", "__at", "__before")

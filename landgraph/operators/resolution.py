@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgraph.functions.text import fingerprint, group_name
@@ -50,6 +50,12 @@ def bridge(orphans: DataFrame, records: DataFrame, pin: str, number: str, order:
     return orphans.join(known, pin, "left")
 
 
+def related(groups: DataFrame, block: list[str], key: str) -> DataFrame:
+    """(a, b): each group of a block with the next one of its block, in order of the key: a chain through the block, not all its pairs."""
+    following = F.lead(key).over(Window.partitionBy(*block).orderBy(key))
+    return groups.select(F.col(key).alias("a"), following.alias("b")).filter("b is not null")
+
+
 def parties_by_contacts(records: DataFrame, parties: str, contacts: str, unnamed: str = "Named Individual(s)") -> DataFrame:
     """A record's parties times its contacts; a party without contacts has one null contact; unnamed-only sides have none."""
     named = F.filter(parties, lambda p: p != unnamed)

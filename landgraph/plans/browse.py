@@ -49,10 +49,10 @@ def b7_b8_coalesced_source(spark, d):
     return rows.select("s_suppkey", F.coalesce("n_name", F.lit("")).alias("place"), F.lit("supplier").alias("source"))
 
 
-@query("""SELECT o_orderkey, '{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '","party":{"id":' || o_custkey || '}}' AS record FROM orders WHERE o_orderkey < 500""")
+@query("""SELECT o_orderkey, '{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '","party":{"id":' || o_custkey || '}}' AS record FROM orders""")
 def b9_reshape(spark, d):
     rec = F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.struct(F.col("o_custkey").alias("id")).alias("party"))
-    return table(spark, d, "orders").filter("o_orderkey < 500").select("o_orderkey", F.to_json(rec).alias("record"))
+    return table(spark, d, "orders").select("o_orderkey", F.to_json(rec).alias("record"))
 
 
 @query("""WITH o AS (SELECT l_orderkey, list(l_quantity) AS q, list(l_returnflag) AS f FROM lineitem GROUP BY l_orderkey)
@@ -104,24 +104,24 @@ def c15_inner_join(spark, d):
     return table(spark, d, "orders").filter("o_totalprice > 450000").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
-@query("""WITH p AS (SELECT *, l_linenumber + (l_orderkey % 2) AS pos FROM lineitem WHERE l_orderkey < 4000),
-a AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_shipdate FROM lineitem WHERE l_orderkey < 4000),
+@query("""WITH p AS (SELECT *, l_linenumber + (l_orderkey % 2) AS pos FROM lineitem),
+a AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_shipdate FROM lineitem),
 j AS (SELECT a.l_orderkey, a.l_linenumber, a.l_extendedprice AS price, p.l_extendedprice AS other FROM a LEFT JOIN p ON a.l_orderkey = p.l_orderkey AND a.l_linenumber = p.pos)
 SELECT l_orderkey, l_linenumber, other IS NOT NULL AS found, other IS NULL OR price = other AS verified FROM j""")
 def c1_c2_positional_join(spark, d):
-    a = table(spark, d, "lineitem").filter("l_orderkey < 4000")
+    a = table(spark, d, "lineitem")
     p = a.select("l_orderkey", (F.col("l_linenumber") + F.col("l_orderkey") % 2).alias("l_linenumber"), F.col("l_extendedprice").alias("other"))
     j = a.join(p, ["l_orderkey", "l_linenumber"], "left")
     return j.select("l_orderkey", "l_linenumber", F.col("other").isNotNull().alias("found"), (F.col("other").isNull() | (F.col("l_extendedprice") == F.col("other"))).alias("verified"))
 
 
-@query("""WITH a AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders WHERE o_orderstatus = 'F' AND o_custkey < 300),
-b AS (SELECT o_orderkey AS bkey, o_custkey AS bcust, o_totalprice AS bprice, o_orderdate AS bdate FROM orders WHERE o_orderstatus <> 'F' AND o_custkey < 300),
+@query("""WITH a AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders WHERE o_orderstatus = 'F'),
+b AS (SELECT o_orderkey AS bkey, o_custkey AS bcust, o_totalprice AS bprice, o_orderdate AS bdate FROM orders WHERE o_orderstatus <> 'F'),
 m AS (SELECT a.o_orderkey, bkey, CASE WHEN abs(o_totalprice - bprice) < 20000 AND bdate > o_orderdate THEN 1 WHEN abs(o_totalprice - bprice) < 20000 THEN 2 END AS tier FROM a JOIN b ON o_custkey = bcust),
 r AS (SELECT o_orderkey, bkey, tier, row_number() OVER (PARTITION BY o_orderkey ORDER BY tier, bkey) AS rn FROM m WHERE tier IS NOT NULL)
 SELECT a.o_orderkey, r.bkey AS matched, r.tier FROM a LEFT JOIN r ON a.o_orderkey = r.o_orderkey AND rn = 1""")
 def c3_fallback_match(spark, d):
-    o = table(spark, d, "orders").filter("o_custkey < 300")
+    o = table(spark, d, "orders")
     a = o.filter("o_orderstatus = 'F'")
     b = o.filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("bkey"), "o_custkey", F.col("o_totalprice").alias("bprice"), F.col("o_orderdate").alias("bdate"))
     near = F.abs(F.col("o_totalprice") - F.col("bprice")) < 20000
@@ -162,22 +162,22 @@ def c16_nested_collect(spark, d):
 
 
 @query("""WITH dim AS (SELECT 'customer' AS type, c_custkey AS id, c_name AS label FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'part', p_partkey, p_name FROM part),
-m AS (SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'customer' WHEN 1 THEN 'supplier' ELSE 'part' END AS type, user_id AS id FROM events WHERE event_id < 3000)
+m AS (SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'customer' WHEN 1 THEN 'supplier' ELSE 'part' END AS type, user_id AS id FROM events)
 SELECT event_id, m.type, label FROM m LEFT JOIN dim ON m.type = dim.type AND m.id = dim.id""")
 def c17_polymorphic_lookup(spark, d):
     pick = lambda t, i, n: table(spark, d, t).select(F.lit(t).alias("type"), F.col(i).alias("id"), F.col(n).alias("label"))
     dim = pick("customer", "c_custkey", "c_name").unionByName(pick("supplier", "s_suppkey", "s_name")).unionByName(pick("part", "p_partkey", "p_name"))
     kind = F.when(F.col("user_id") % 3 == 0, "customer").when(F.col("user_id") % 3 == 1, "supplier").otherwise("part")
-    m = table(spark, d, "events").filter("event_id < 3000").select("event_id", kind.alias("type"), F.col("user_id").alias("id"))
+    m = table(spark, d, "events").select("event_id", kind.alias("type"), F.col("user_id").alias("id"))
     return m.join(dim, ["type", "id"], "left").select("event_id", "type", "label")
 
 
-@query("""WITH o AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS flags, list_sort(list(DISTINCT l_linestatus)) AS st FROM lineitem WHERE l_orderkey < 2000 GROUP BY l_orderkey),
+@query("""WITH o AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS flags, list_sort(list(DISTINCT l_linestatus)) AS st FROM lineitem GROUP BY l_orderkey),
 p AS (SELECT l_orderkey, unnest(list_filter(flags, lambda x: x <> 'N')) AS party, CASE WHEN len(st) > 1 THEN st ELSE [NULL] END AS contacts FROM o) SELECT l_orderkey, party, unnest(contacts) AS contact FROM p""")
 def c18_cross_within_record(spark, d):
     from landgraph.operators.resolution import parties_by_contacts
 
-    o = table(spark, d, "lineitem").filter("l_orderkey < 2000").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("flags"), F.array_sort(F.collect_set("l_linestatus")).alias("st"))
+    o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("flags"), F.array_sort(F.collect_set("l_linestatus")).alias("st"))
     o = o.withColumn("st", F.when(F.size("st") > 1, F.col("st")).otherwise(F.array().cast("array<string>")))
     return parties_by_contacts(o, "flags", "st", unnamed="N").select("l_orderkey", "party", "contact")
 
@@ -240,9 +240,9 @@ def d10_pipeline_stages(spark, d):
     return R.pipeline_stages(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE"], rows, "o_orderpriority", "amount", ["5-LOW"])
 
 
-@query("SELECT l_orderkey, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 3000 GROUP BY 1")
+@query("SELECT l_orderkey, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def d17_d18_sorted_sets(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey < 3000").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("brands"))
 
 
@@ -296,9 +296,9 @@ def f6_l4_omnisearch(spark, d):
     return per_type(5, part=p, customer=c)
 
 
-@query("SELECT 'order' AS source, o_orderkey AS id, o_custkey AS who FROM orders WHERE o_orderkey < 1000 UNION ALL SELECT 'event', event_id, user_id FROM events WHERE event_id < 1000")
+@query("SELECT 'order' AS source, o_orderkey AS id, o_custkey AS who FROM orders UNION ALL SELECT 'event', event_id, user_id FROM events")
 def g1_union_tagged(spark, d):
-    return R.dated(("order", table(spark, d, "orders").filter("o_orderkey < 1000").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("who"))), ("event", table(spark, d, "events").filter("event_id < 1000").select(F.col("event_id").alias("id"), F.col("user_id").alias("who"))))
+    return R.dated(("order", table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("who"))), ("event", table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("who"))))
 
 
 @query("SELECT DISTINCT p_brand, c_mktsegment FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")

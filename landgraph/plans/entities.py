@@ -159,32 +159,32 @@ def c19_c20_pin_bridge(spark, d):
     return out.withColumn("bridged", F.col("bridged").cast("long"))
 
 
-@query("""WITH p AS (SELECT event_id, value AS x, CAST(user_id AS DOUBLE) / 10 AS y FROM events WHERE event_id < 4000), b AS (SELECT p_partkey, p_size - 1.5 AS x0, p_size + 1.5 AS x1, p_partkey % 16 AS y0, p_partkey % 16 + 1 AS y1 FROM part WHERE p_partkey < 300)
+@query("""WITH p AS (SELECT event_id, value AS x, CAST(user_id AS DOUBLE) / 10 AS y FROM events), b AS (SELECT p_partkey, p_size - 1.5 AS x0, p_size + 1.5 AS x1, p_partkey % 16 AS y0, p_partkey % 16 + 1 AS y1 FROM part)
 SELECT event_id, p_partkey FROM p JOIN b ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1""")
 def c8_b3_grid_join(spark, d):
-    p = table(spark, d, "events").filter("event_id < 4000").select("event_id", F.col("value").alias("x"), (F.col("user_id").cast("double") / 10).alias("y"))
-    b = table(spark, d, "part").filter("p_partkey < 300").select("p_partkey", (F.col("p_size") - 1.5).alias("x0"), (F.col("p_size") + 1.5).alias("x1"), (F.col("p_partkey") % 16).cast("double").alias("y0"), (F.col("p_partkey") % 16 + 1).cast("double").alias("y1"))
+    p = table(spark, d, "events").select("event_id", F.col("value").alias("x"), (F.col("user_id").cast("double") / 10).alias("y"))
+    b = table(spark, d, "part").select("p_partkey", (F.col("p_size") - 1.5).alias("x0"), (F.col("p_size") + 1.5).alias("x1"), (F.col("p_partkey") % 16).cast("double").alias("y0"), (F.col("p_partkey") % 16 + 1).cast("double").alias("y1"))
     return spatial.grid_join(p, b, 2.0).select("event_id", "p_partkey")
 
 
-@query("""WITH p AS (SELECT event_id, value AS x, CAST(user_id AS DOUBLE) / 10 AS y FROM events WHERE event_id < 4000),
-t AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS ax, CAST(p_partkey % 16 AS DOUBLE) AS ay FROM part WHERE p_partkey < 300),
+@query("""WITH p AS (SELECT event_id, value AS x, CAST(user_id AS DOUBLE) / 10 AS y FROM events),
+t AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS ax, CAST(p_partkey % 16 AS DOUBLE) AS ay FROM part),
 h AS (SELECT event_id, p_partkey, x, y, ax, ay FROM p JOIN t ON x BETWEEN ax AND ax + 4 AND y BETWEEN ay AND ay + 2),
 c AS (SELECT event_id, p_partkey, (y < ay + 2 AND y >= ay AND x < ax + 4 - (y - ay) * 2.0) AND x >= ax AS hit FROM h)
 SELECT event_id, min(p_partkey) AS p_partkey FROM c WHERE hit AND true GROUP BY 1""")
 def c8_h60_point_in_polygon(spark, d):
-    p = table(spark, d, "events").filter("event_id < 4000").select("event_id", F.col("value").alias("x"), (F.col("user_id").cast("double") / 10).alias("y"))
+    p = table(spark, d, "events").select("event_id", F.col("value").alias("x"), (F.col("user_id").cast("double") / 10).alias("y"))
     ax, ay = F.col("p_size").cast("double"), (F.col("p_partkey") % 16).cast("double")
     ring = F.array(F.array(ax, ay), F.array(ax + 4, ay), F.array(ax, ay + 2))
-    parcels = table(spark, d, "part").filter("p_partkey < 300").select("p_partkey", ring.alias("ring"))
+    parcels = table(spark, d, "part").select("p_partkey", ring.alias("ring"))
     return spatial.point_in_parcel(p, parcels, "event_id", "p_partkey", 2.0)
 
 
-@query("""WITH p AS (SELECT event_id, value AS x, CAST(user_id AS DOUBLE) / 10 AS y FROM events WHERE event_id < 3000), q AS (SELECT s_suppkey, s_suppkey * CAST(0.9 AS DOUBLE) AS px, s_nationkey * CAST(0.6 AS DOUBLE) AS py FROM supplier),
+@query("""WITH p AS (SELECT event_id, value AS x, CAST(user_id AS DOUBLE) / 10 AS y FROM events), q AS (SELECT s_suppkey, s_suppkey * CAST(0.9 AS DOUBLE) AS px, s_nationkey * CAST(0.6 AS DOUBLE) AS py FROM supplier),
 m AS (SELECT event_id, s_suppkey, CASE WHEN greatest(abs(x - px), abs(y - py)) <= 0.5 THEN 0 WHEN greatest(abs(x - px), abs(y - py)) <= 1.5 THEN 1 WHEN greatest(abs(x - px), abs(y - py)) <= 4.5 THEN 2 END AS tier, (x - px) * (x - px) + (y - py) * (y - py) AS away FROM p JOIN q ON abs(x - px) <= 4.6 AND abs(y - py) <= 4.6)
 SELECT event_id, arg_min(s_suppkey, (tier, away, s_suppkey)) AS s_suppkey, min(tier) AS tier FROM m WHERE tier IS NOT NULL GROUP BY 1""")
 def c9_c10_nearest_within(spark, d):
-    p = table(spark, d, "events").filter("event_id < 3000").select("event_id", F.col("value").alias("x"), (F.col("user_id").cast("double") / 10).alias("y"))
+    p = table(spark, d, "events").select("event_id", F.col("value").alias("x"), (F.col("user_id").cast("double") / 10).alias("y"))
     q = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * F.lit(0.9)).alias("x"), (F.col("s_nationkey") * F.lit(0.6)).alias("y"))
     return spatial.nearest_within(p, q, "event_id", "s_suppkey", (0.5, 1.5, 4.5))
 
@@ -235,9 +235,9 @@ def h47_h48_identifiers(spark, d):
     return table(spark, d, "part").select("p_partkey", V.pin(key).alias("pin_right"), V.pin(key, left=True).alias("pin_left"), V.roll_number(raw).alias("roll"))
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS a, strftime(o_orderdate, '%Y-%m-%d') AS b, true AS same, true AS iso FROM orders WHERE o_orderkey < 3000""")
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS a, strftime(o_orderdate, '%Y-%m-%d') AS b, true AS same, true AS iso FROM orders""")
 def h51_h54_dates(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey < 3000")
+    o = table(spark, d, "orders")
     a, b = F.date_format("o_orderdate", "d MMM yyyy"), F.date_format("o_orderdate", "MM/dd/yyyy")
     return o.select("o_orderkey", V.iso_date(a, "d MMM yyyy").alias("a"), V.iso_date(b, "d MMM yyyy", "MM/dd/yyyy").alias("b"), V.same_date(a, "d MMM yyyy", b, "MM/dd/yyyy").alias("same"), V.is_iso(V.iso_date(a, "d MMM yyyy")).alias("iso"))
 
@@ -248,11 +248,11 @@ def h55_h57_h20_money(spark, d):
     return table(spark, d, "orders").select("o_orderkey", V.whole_money(shown).alias("whole"), T.compact_money(F.floor("o_totalprice").cast("double")).alias("compact"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE CAST(l_quantity AS INT) % 4 WHEN 0 THEN round(l_quantity, 2) WHEN 1 THEN round(l_quantity * 2.4710538146717, 2) WHEN 2 THEN round(l_quantity * 1000 / 43560.0, 2) ELSE NULL END AS acres FROM lineitem WHERE l_orderkey < 3000""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE CAST(l_quantity AS INT) % 4 WHEN 0 THEN round(l_quantity, 2) WHEN 1 THEN round(l_quantity * 2.4710538146717, 2) WHEN 2 THEN round(l_quantity * 1000 / 43560.0, 2) ELSE NULL END AS acres FROM lineitem""")
 def h56_site_area(spark, d):
     q = F.col("l_quantity").cast("int")
     raw = F.when(q % 4 == 0, F.concat(q.cast("string"), F.lit(" acres"))).when(q % 4 == 1, F.concat(q.cast("string"), F.lit(" ha"))).when(q % 4 == 2, F.concat(F.format_number(q * 1000, 0), F.lit(" sq ft"))).otherwise(F.lit("irregular"))
-    return table(spark, d, "lineitem").filter("l_orderkey < 3000").select("l_orderkey", "l_linenumber", "l_partkey", V.site_acres(raw).alias("acres"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", V.site_acres(raw).alias("acres"))
 
 
 @query("""SELECT * FROM (SELECT doc_id AS id, 'short_text' AS rule, 'error' AS severity, 'text' AS field, CAST(n_chars AS VARCHAR) AS value FROM documents WHERE n_chars < 100
@@ -271,25 +271,25 @@ def j2_d26_rule_catalogue(spark, d):
     return rules.rule_counts(cat, found)
 
 
-@query("""WITH old AS (SELECT o_orderkey AS id, 'r' || o_orderkey % 3 AS rule, CASE WHEN o_orderkey % 4 = 0 THEN 'closed' ELSE 'open' END AS status FROM orders WHERE o_orderkey < 1000), new AS (SELECT o_orderkey AS id, 'r' || o_orderkey % 3 AS rule FROM orders WHERE o_orderkey BETWEEN 900 AND 1200)
+@query("""WITH old AS (SELECT o_orderkey AS id, 'r' || o_orderkey % 3 AS rule, CASE WHEN o_orderkey % 4 = 0 THEN 'closed' ELSE 'open' END AS status FROM orders WHERE o_orderstatus <> 'P'), new AS (SELECT o_orderkey AS id, 'r' || o_orderkey % 3 AS rule FROM orders WHERE o_orderstatus <> 'O')
 SELECT id, rule, status FROM old WHERE NOT (status = 'open' AND rule = 'r1') UNION ALL SELECT id, rule, 'open' FROM new WHERE rule = 'r1'""")
 def j4_rescan(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("r"), (F.col("o_orderkey") % 3).cast("string")).alias("rule"))
-    old = o.filter("id < 1000").withColumn("status", F.when(F.col("id") % 4 == 0, "closed").otherwise("open"))
-    return rules.rescan(old, o.filter("id between 900 and 1200"), F.col("rule") == "r1")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("r"), (F.col("o_orderkey") % 3).cast("string")).alias("rule"), "o_orderstatus")
+    old = o.filter("o_orderstatus <> 'P'").drop("o_orderstatus").withColumn("status", F.when(F.col("id") % 4 == 0, "closed").otherwise("open"))
+    return rules.rescan(old, o.filter("o_orderstatus <> 'O'").drop("o_orderstatus"), F.col("rule") == "r1")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN NOT contains(l_returnflag || l_linestatus, 'F') THEN 'line' WHEN NOT contains(o_orderstatus, 'F') THEN 'order' ELSE 'source' END AS cause FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey < 2000""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN NOT contains(l_returnflag || l_linestatus, 'F') THEN 'line' WHEN NOT contains(o_orderstatus, 'F') THEN 'order' ELSE 'source' END AS cause FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def j5_root_cause(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey < 2000").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     cause = rules.root_cause(F.lit("F"), [("order", F.col("o_orderstatus")), ("line", F.concat("l_returnflag", "l_linestatus"))])
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", cause.alias("cause"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'bad_id' WHEN value < 1 THEN 'outside' END AS reason FROM events WHERE event_id < 2000""")
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'bad_id' WHEN value < 1 THEN 'outside' END AS reason FROM events""")
 def a16_validated_import(spark, d):
     from landgraph.sources.files import reject_reason
 
     pid = F.when(F.col("event_type") != "error", F.concat(F.lit("node/"), F.col("event_id").cast("string")))
     lat = F.when(F.col("value") < 1, 10.0).otherwise(45.0)
-    return table(spark, d, "events").filter("event_id < 2000").select("event_id", reject_reason(pid, F.col("event_type"), lat, F.lit(-80.0)).alias("reason"))
+    return table(spark, d, "events").select("event_id", reject_reason(pid, F.col("event_type"), lat, F.lit(-80.0)).alias("reason"))

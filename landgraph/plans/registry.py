@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from landgraph.plans import browse, entities, extraction, timeline
+from landgraph.plans import browse, entities, extraction, inventory, records, timeline
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for part in (browse, entities, extraction, timeline):
+for part in (browse, entities, extraction, inventory, records, timeline):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
 FLAGSHIP = "d11_group_fold"

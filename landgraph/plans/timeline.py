@@ -15,13 +15,13 @@ from landgraph.streaming import feeds
 QUERIES, SQL, query = book()
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_orderpriority AS prio FROM orders WHERE o_orderkey < 1000 AND o_orderkey % 7 > 0),
-b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_orderpriority AS prio FROM orders WHERE o_orderkey < 1000 AND o_orderkey % 11 > 0),
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_orderpriority AS prio FROM orders WHERE o_orderkey % 7 > 0),
+b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_orderpriority AS prio FROM orders WHERE o_orderkey % 11 > 0),
 fa AS (SELECT k, 'status' AS path, status AS v FROM a UNION ALL SELECT k, 'prio', prio FROM a), fb AS (SELECT k, 'status' AS path, status AS v FROM b UNION ALL SELECT k, 'prio', prio FROM b)
 SELECT coalesce(fa.k, fb.k) AS k, coalesce(fa.path, fb.path) AS path, CASE WHEN fa.v IS NULL THEN 'added' WHEN fb.v IS NULL THEN 'removed' ELSE 'changed' END AS change, fa.v AS old, fb.v AS new
 FROM fa FULL JOIN fb ON fa.k = fb.k AND fa.path = fb.path WHERE fa.v IS DISTINCT FROM fb.v""")
 def m2_diff(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey < 1000").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("prio"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("prio"))
     new = o.filter("k % 11 > 0").withColumn("status", F.when(F.col("k") % 5 == 0, "X").otherwise(F.col("status")))
     return S.diff(S.flat(o.filter("k % 7 > 0"), "k", ["status", "prio"]), S.flat(new, "k", ["status", "prio"]), "k").select("k", "path", "change", "old", "new")
 
@@ -54,8 +54,7 @@ def k1_k3_stream_upsert(spark, d):
     rows.select("event_id", "ts", "user_id").repartitionByRange(3, "event_id").write.parquet(f"{root}/in")
     stream = feeds.file_stream(spark, f"{root}/in", rows.select("event_id", "ts", "user_id").schema, per_trigger=1)
     feeds.run_once(stream, f"{root}/checkpoint", feeds.upsert_latest(f"{root}/out", "user_id", F.desc("ts"), F.desc("event_id")))
-    last = spark.read.parquet(f"{root}/out").agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{root}/out/v={last}").select("user_id", "event_id")
+    return feeds.read_latest(spark, f"{root}/out").select("user_id", "event_id")
 
 
 @query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""")

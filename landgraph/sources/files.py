@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; where none is named, a folder of our own."""
+    """The folder that the cluster names for checkpoints; where none is named, as in local tests, a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="landgraph-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -34,10 +36,11 @@ def raw_documents(spark: SparkSession, root: str, glob: str = "*.html") -> DataF
 
 
 def export_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array's elements with their position; absent text is ''."""
-    rows = spark.read.option("multiLine", True).schema(schema).option("mode", "PERMISSIVE").json(path)
-    rows = rows.withColumn("position", F.monotonically_increasing_id())
-    return rows.select("position", *(F.coalesce(F.col(c), F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes if c != "position"))
+    """The elements of the JSON array that each file holds: folder, position in the array, and the fields, absent text as ''."""
+    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    rows = rows.select(folder.alias("folder"), F.posexplode(F.from_json("value", f"array<struct<{schema}>>")).alias("position", "r")).select("folder", "position", "r.*")
+    return rows.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) if t == "string" and c != "folder" else F.col(c) for c, t in rows.dtypes))
 
 
 def at_position(items: Column, i: Column) -> Column:
@@ -45,6 +48,18 @@ def at_position(items: Column, i: Column) -> Column:
     return F.get(items, i)
 
 
+def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Names and sizes of a stage's files, without reading them."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return rows.select("path", F.substring_index("path", "/", -1).alias("name"), "length", "modificationTime")
+
+
+def cached_parcels(records: DataFrame, parcels: DataFrame, key: str) -> DataFrame:
+    """Records with their parcel from a key-value table, or null; `cached` tells whether there is one."""
+    known = parcels.dropDuplicates([key]).withColumn("cached", F.lit(True))
+    return records.join(known, key, "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+
+
 def stage_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON records of a stage; broken ones keep their text in _corrupt_record. Files named _* are skipped by Spark."""
     return spark.read.schema(schema + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)

@@ -18,23 +18,54 @@ def run_once(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int]
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_latest(path: str, key: str, *order: Column) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps each key's first row in an order, across batches, by one version of the table per batch.
+def upsert_latest(path: str, key: str, *order: Column, shares: int = 16) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps each key's first row in an order, across batches.
 
-    Each batch rewrites only into a new version folder, so a repeated batch gives the same table.
+    The table lies in `shares` folders by the key's hash. A batch writes new versions of only
+    the shares that its keys fall into, then a small index of the version of each share; the
+    version before is kept for readers and the one before that is deleted. A repeated batch
+    writes the same versions again. read_latest() reads the table.
     """
     from landgraph.operators.folds import best_per_key
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch = batch.withColumn("share", F.pmod(F.xxhash64(key), F.lit(shares)).cast("int")).persist()
+        old = _versions(spark, path, number)
+        touched = [r.share for r in batch.select("share").distinct().collect()]  # at most `shares`
         rows = batch
-        if number:
-            rows = spark.read.parquet(f"{path}/v={number - 1}").unionByName(batch)
-        best_per_key(rows, [key], *order).write.mode("overwrite").parquet(f"{path}/v={number}")
+        for s in touched:
+            if s in old:
+                rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v={old[s]}/share={s}").withColumn("share", F.lit(s)))
+        best_per_key(rows, [key], *order).write.mode("overwrite").partitionBy("share").parquet(f"{path}/v={number}")
+        new = old | {s: number for s in touched}
+        spark.createDataFrame(sorted(new.items()), "share int, v long").coalesce(1).write.mode("overwrite").parquet(f"{path}_index/{number:012d}")
+        for stale in set(old.values()) - set(new.values()):
+            if stale < number - 1:
+                _delete(spark, f"{path}/v={stale}")
+        batch.unpersist()
 
     return write
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _versions(spark: SparkSession, path: str, below: int = 10**12) -> dict[int, int]:
+    """The version of each share in the last index of a batch below a number; numbers may be left out, so the folders tell which is last."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}_index/*/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    names = sorted(str(f.getPath().getParent()) for f in found or [] if int(f.getPath().getParent().getName()) < below)
+    return {r.share: r.v for r in spark.read.parquet(names[-1]).collect()} if names else {}
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table that upsert_latest() keeps."""
+    return spark.read.parquet(*(f"{path}/v={v}/share={s}" for s, v in sorted(_versions(spark, path).items())))
+
+
 def hourly(events: DataFrame, ts: str, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Counts and sums in tumbling windows; works on a stream (with its watermark) and on a table."""
     rows = events.withColumn(ts, F.col(ts).cast("timestamp"))

@@ -4,10 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from landgraph.functions import address as A
+from landgraph.functions import assessment as Q
 from landgraph.functions import html as H
+from landgraph.functions import record as R
+from landgraph.functions import sections as S
 from landgraph.functions import text as T
 from landgraph.functions import values as V
 from landgraph.functions.classify import line_label
+from landgraph.plans.cases import ADDRESSES, LABELS
 
 
 def one(spark, f, *values):
@@ -46,27 +50,12 @@ def test_haversine(spark):
     assert 110_000 < at(43.0, -79.0, 44.0, -79.0) < 112_000
 
 
-@pytest.mark.parametrize(
-    "line,want",
-    [
-        ("12 Main St", ("12", "Main", "Street", "", "12 Main Street")),
-        ("#3 - 12 Main St W", ("12", "Main", "Street", "West", "3 - 12 Main Street West")),
-        ("5-120 King St. E.", ("120", "King", "Street", "East", "5 - 120 King Street East")),
-        ("100 - 120 King St", ("100-120", "King", "Street", "", "100-120 King Street")),
-        ("1 The West Mall", ("1", "The West", "Mall", "", "1 The West Mall")),
-        ("7 St. George St", ("7", "St. George", "Street", "", "7 St. George Street")),
-        ("PO Box 12", ("", "", "", "", "PO Box 12")),
-        ("14 County Road 9", ("14", "County Road 9", "", "", "14 County Road 9")),
-    ],
-)
-def test_decompose(spark, line, want):
-    got = one(spark, A.decompose, line)
-    assert (got.number, got.name, got.suffix, got.direction, got.display) == want
-
-
-@pytest.mark.parametrize("line,want", [("PO Box 5", "po_box"), ("RR 2", "rural_route"), ("General Delivery", "general_delivery"), ("Lot 3, Plan 55", "legal_description"), ("Lot 3", "lot_continuation"), ("12 Main St", "street_address"), ("Main Street", "street_name_only")])
-def test_address_type(spark, line, want):
-    assert one(spark, A.address_type, line) == want
+@pytest.mark.parametrize("case", ADDRESSES, ids=lambda c: c[0] or "empty")
+def test_decompose(spark, case):
+    line, number, name, suffix, direction, unit, kind, display = case
+    got = one(spark, lambda x: F.struct(A.decompose(x).alias("a"), A.address_type(A.decompose(x)).alias("kind")), line)
+    assert (got.a.street_number, got.a.street_name, got.a.street_suffix, got.a.street_direction) == (number, name, suffix, direction)
+    assert (f"{got.a.suite_type} {got.a.suite_number}".strip(), got.kind, got.a.display) == (unit, kind, display)
 
 
 def test_expand_range(spark):
@@ -75,18 +64,35 @@ def test_expand_range(spark):
     assert one(spark, A.expand_range, "") == []
 
 
-@pytest.mark.parametrize(
-    "line,label,kind",
-    [
-        ("", "empty", None), ("K1A 0B1", "postal", None), ("Ontario", "city_province", None), ("416-555-0100", "phone", None), ("Canada", "country", None),
-        ("12 Main St", "address_line", None), ("Suite 400", "address_modifier", None), ("Toronto, Ontario", "city_province", None), ("Acme Inc.", "company_name", None),
-        ("Smith Barristers", "law_firm", None), ("Royal Tower", "building_name", None), ("Acme Holdings", "company_name", None), ("Mary Smith", "contact_name", None),
-        ("Smith & Jones", "law_firm", None), ("Attn: Mary Smith", "contact_name", "Attention"), ("c/o Acme Ltd", "care_of", "company"), ("c/o 12 Main St", "care_of", "address"),
-    ],
-)
-def test_line_label(spark, line, label, kind):
-    got = one(spark, line_label, line)
-    assert (got.label, got.kind) == (label, kind)
+def test_line_labels(spark):
+    df = spark.createDataFrame([(x[0], x[1], x[2]) for x in LABELS], "line string, label string, kind string")
+    wrong = df.withColumn("got", line_label(F.col("line"))).filter(~(F.col("got.label").eqNullSafe(F.col("label")) & F.col("got.kind").eqNullSafe(F.col("kind"))))
+    assert wrong.collect() == []
+    # who is a person is told by the names given
+    assert one(spark, lambda x: line_label(x, ("Zaphod",)), "Prefect and Zaphod Beeblebrox").label == "contact_name"
+
+
+def test_names_and_titles_of_nulls(spark):
+    got = spark.createDataFrame([(None,)], "x string").select(line_label(F.col("x")).alias("l"), A.decompose(F.col("x")).alias("a"), S.page(F.col("x")).alias("p"), R.classified(S.page(F.col("x"))).alias("c")).first()
+    assert got.l.label == "empty" and got.a.display == "" and got.p.site_lines == [] and got.c.seller.parties == [] and got.c.consideration.cash is None
+
+
+def test_sale_dates(spark):
+    assert [one(spark, R.sale_date, x) for x in ("5 Jul 2014", "17 Foo 2001", "soon", "")] == ["2014-07-05", "2001-00-17", "soon", ""]
+
+
+def test_address_entries(spark):
+    lines = ["UNIT 9", "12 MAIN ST", "UNIT 4", "PT LOT 3", "PLAN 5", "HIGHWAY 7", "", "DOWNTOWN"]
+    got = spark.createDataFrame([(lines,)], "x array<string>").select(R.address_entries(F.col("x")).alias("e")).first().e
+    assert [(e.lines, e.type, e.geocodable) for e in got] == [(["UNIT 9"], "unit_only", False), (["12 MAIN ST", "UNIT 4"], "street_address", True), (["PT LOT 3", "PLAN 5"], "legal_description", False), (["HIGHWAY 7"], "highway", False), (["DOWNTOWN"], "name_only", False)]
+
+
+def test_assessment_values(spark):
+    area = lambda x: one(spark, Q.site_area, x)
+    assert [tuple(area(x)) for x in ("104963.55F", "500M", "50,806  ft²", "1.2  acres", "3 ha")] == [(104963.55, "sqft", 2.41), (500.0, "sqm", 0.12), (50806.0, "sqft", 1.17), (1.2, "acres", 1.2), (3.0, "hectares", 7.41)]
+    assert area("N/A") is None and one(spark, Q.dimension, "237.84 ft") == 237.84 and one(spark, Q.dimension, "N/A") is None
+    got = one(spark, Q.assessed_address, "5 LONDON RD LONDON ON N4G 4W4", "London")
+    assert (got.street, got.city, got.postal_code, got.display_street) == ("5 LONDON RD", "LONDON", "N4G 4W4", "5 London Road")
 
 
 def test_html(spark):

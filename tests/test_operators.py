@@ -73,3 +73,32 @@ def test_ranked_ids_are_dense(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 1000).alias("k"))
     got = [r.n for r in relational.ranked_ids(df, [F.col("k")], "%d", "n").orderBy("k").collect()]
     assert got == [str(i) for i in range(1, 501)]
+
+
+def test_reachable_beyond_any_fixed_number_of_hops(spark):
+    edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(130)] + [("x", "y")], "a string, b string")
+    got = {(r.start, r.node) for r in search.reachable(edges, spark.createDataFrame([("n000",), ("alone",)], "start string")).collect()}
+    assert got == {("n000", f"n{i:03d}") for i in range(131)} | {("alone", "alone")}
+
+
+def test_upserts_over_skipped_batches(spark, tmp_path):
+    from landgraph.streaming import feeds
+
+    path = f"file://{tmp_path}/table"
+    each = feeds.upsert_latest(path, "k", F.desc("t"), shares=4)
+    rows = lambda *r: spark.createDataFrame(r, "k int, t int")
+    each(rows((1, 1), (2, 1), (3, 9)), 0)
+    each(rows((1, 5)), 2)  # a batch number was left out
+    each(rows((2, 0), (4, 4)), 5)
+    each(rows((2, 0), (4, 4)), 5)  # and one is repeated
+    assert {(r.k, r.t) for r in feeds.read_latest(spark, path).select("k", "t").collect()} == {(1, 5), (2, 1), (3, 9), (4, 4)}
+
+
+def test_export_positions_restart_in_each_file(spark, tmp_path):
+    from landgraph.sources.files import export_records
+
+    for name, n in (("a", 3), ("b", 2)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "export.json").write_text("[" + ",".join(f'{{"x": "{name}{i}"}}' for i in range(n)) + "]")
+    got = {(r.folder[-1], r.position, r.x, r.y) for r in export_records(spark, f"file://{tmp_path}", "x string, y string").collect()}
+    assert got == {("a", i, f"a{i}", "") for i in range(3)} | {("b", i, f"b{i}", "") for i in range(2)}
