@@ -100,20 +100,23 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 
 
 def _license_sql() -> str:
-    values = ", ".join(f"('{k}', '{v}')" for k, v in sorted(TEMPLATES.items()))
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(TEMPLATES.items()))
     words = r"list_filter(string_split(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
     grams = "CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END"
     return rf"""
 WITH t AS (SELECT license, {grams} AS g FROM (SELECT license, {words.format('body')} AS w FROM (VALUES {values}) v(license, body))),
 tg AS (SELECT license, len(g) AS n, unnest(g) AS gram FROM t),
 src AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-cut AS (SELECT r, doc_id, text, string_split(text, chr(10)) AS ls, string_split_regex(text, '\n[\t ]*\n') AS bs FROM src),
+cut AS (SELECT r, doc_id, text, string_split(text, chr(10)) AS ls, string_split_regex(text, '\n[\t ]*\n') AS bs,
+  string_split(regexp_replace(text, '([.!?])[ \t\r\n]+([\p{{Lu}}"(])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ss FROM src),
 u AS (SELECT r, doc_id, 'line' AS unit, CAST(unnest(range(len(ls))) AS INT) AS unit_no, unnest(ls) AS body FROM cut
   UNION ALL SELECT * FROM (SELECT r, doc_id, 'block' AS unit, CAST(unnest(range(len(bs))) AS INT) AS unit_no, unnest(bs) AS body FROM cut) WHERE contains(body, chr(10))
+  UNION ALL SELECT r, doc_id, 'sentence', CAST(unnest(range(len(ss))) AS INT), unnest(ss) FROM cut WHERE len(ss) > 1
   UNION ALL SELECT r, doc_id, 'text', 0, text FROM cut WHERE len(bs) > 1),
-uw AS (SELECT r, doc_id, unit, unit_no, {words.format('body')} AS w FROM u WHERE length(body) <= 400),
+uw AS (SELECT r, doc_id, unit, unit_no, {words.format('body')} AS w FROM u),
 ug AS (SELECT r, doc_id, unit, unit_no, {grams} AS g FROM uw),
-ux AS (SELECT r, doc_id, unit, unit_no, len(g) AS n, unnest(g) AS gram FROM ug WHERE len(g) <= 40),
+ux AS (SELECT r, doc_id, unit, unit_no, len(g) AS n, unnest(g) AS gram FROM ug),
 s AS (SELECT ux.r, ux.doc_id, ux.unit, ux.unit_no, license, 2.0 * count(*) / (ux.n + tg.n) AS dice
   FROM ux JOIN tg USING (gram) GROUP BY ux.r, ux.doc_id, ux.unit, ux.unit_no, license, ux.n, tg.n)
 SELECT doc_id, unit, unit_no, license, CAST(dice AS DOUBLE) AS dice FROM s WHERE dice >= 0.8
