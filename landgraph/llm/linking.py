@@ -13,9 +13,10 @@ Exact bounds rule pairs out unscored. The shared weight of two members is at mos
 one's weight, and in large buckets at most the weight of those features that a member has in
 common with any other member still at work: near copies whose edits are their own are far from
 each other by that bound, however much of the original they share. Each member also has a
-profile, the weight of its features in each of 256 hash classes, rounded up to a byte: the sum
-of two profiles' minima bounds the shared weight of a pair from above. Only pairs that pass
-meet their texts. Texts lie in buckets of the member, so a pair moves one text, once.
+profile, the weight of its features in each of 256 hash classes, rounded up to a byte, and a
+coarser one: the sum of two profiles' minima bounds the shared weight of a pair from above.
+Pivots and members meet under the coarse bound, so that what is not alike is no pair at all;
+only pairs that pass the fine one meet their texts. Texts lie in buckets of the member, so a pair moves one text, once.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from landgraph.llm.common import Scratch, components
 PIVOTS = (4, 256)  # pivots of a bucket in the second round, mostly originals, and in each later one
 LARGE = 64  # members of a bucket from which counting shared features pays
 CLASSES, STEPS = 256, 12  # of a profile: hash classes, and codes for each doubling of a weight
+COARSE = 64  # hash classes of the coarse profile
 LEVELS = np.append(2.0 ** (np.arange(255) / STEPS) - 1, np.inf)  # the weight that a code stands for
 
 #: Yields (rows, feature hashes, weights) for slices of a column of bodies, sorted by row and hash within each.
@@ -55,7 +57,7 @@ def jaccard(features: Features) -> Callable[[pa.Array, pa.Array], np.ndarray]:
 
 
 def profiled(payloads: DataFrame, features: Features) -> DataFrame:
-    """Rows (v, w, profile, body) of payloads (v, body)."""
+    """Rows (v, w, profile, coarse, body) of payloads (v, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -64,9 +66,12 @@ def profiled(payloads: DataFrame, features: Features) -> DataFrame:
                 sums += np.bincount(row * CLASSES + (h >> np.uint64(56)).astype(np.int64), weight, minlength=len(sums))
             codes = np.minimum(np.ceil(np.log2(1 + sums) * STEPS + 1e-6), 255) * (sums > 0)
             codes = codes.astype(np.uint8).reshape(len(b), CLASSES)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums.reshape(len(b), CLASSES).sum(1)), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1)], ["v", "w", "profile", "body"])
+            # single precision rounds by less than a part in ten million
+            coarse = (sums.reshape(len(b), COARSE, -1).sum(2) * (1 + 1e-6)).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * COARSE, pa.int32()), pa.array(coarse.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums.reshape(len(b), CLASSES).sum(1)), pa.array([c.tobytes() for c in codes], pa.binary()), lists, b.column(1)], ["v", "w", "profile", "coarse", "body"])
 
-    return payloads.select("v", "body").mapInArrow(run, "v long, w double, profile binary, body string")
+    return payloads.select("v", "body").mapInArrow(run, "v long, w double, profile binary, coarse array<float>, body string")
 
 
 def _alike(least: float):
@@ -194,11 +199,16 @@ def link_buckets(members: DataFrame, payloads: DataFrame, threshold: float, scra
             scratch.drop_bucketed("bodies")
             return labels
         # members with most of their weight in common first: an original before its copies
+        shapes = bodies.groupBy("v").agg(F.when(F.count(F.lit(1)) == 1, F.first("coarse")).alias("f"))
+        shaped = scratch.save(named.join(shapes, "v"), f"shaped{step}")
+        held.append(f"shaped{step}")
         order = Window.partitionBy("bucket").orderBy(F.desc(F.col("c") / w), "v")
-        pivots = named.filter("label <> main").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PIVOTS[min(step, len(PIVOTS)) - 1])
-        pivots = pivots.select("bucket", F.col("v").alias("p"), F.col("w").alias("p_w"), F.col("c").alias("p_c"), F.col("label").alias("p_label"))
+        pivots = shaped.filter("label <> main").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PIVOTS[min(step, len(PIVOTS)) - 1])
+        pivots = pivots.select("bucket", F.col("v").alias("p"), F.col("w").alias("p_w"), F.col("c").alias("p_c"), F.col("label").alias("p_label"), F.col("f").alias("p_f"))
         pivots = scratch.save(pivots, f"pivots{step}")
         held.append(f"pivots{step}")
-        met = named.join(pivots, "bucket").filter((F.col("label") != F.col("p_label")) & possible(w, F.col("c"), p_w, F.col("p_c")))
+        most = F.aggregate(F.zip_with("f", "p_f", lambda a, b: F.least(a, b).cast("double")), F.lit(0.0), lambda a, x: a + x)
+        alike = F.coalesce(most * (1 + least) >= least * (w + p_w), F.lit(True))  # most >= least * (w + p_w - most)
+        met = shaped.join(pivots, "bucket").filter((F.col("label") != F.col("p_label")) & possible(w, F.col("c"), p_w, F.col("p_c")) & alike)
         pairs = met.select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
         rows = named.join(pivots.select("bucket", F.col("p").alias("v")), ["bucket", "v"], "left_anti").select("bucket", "v", "w", "c")
