@@ -115,18 +115,22 @@ class Segments:
     def transfers(self, a: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scaled products of A diag(b) over each segment, and the logs of the scales."""
         n, s = len(self.size), len(a)
-        m = np.broadcast_to(np.eye(s, dtype=a.dtype), (n, s, s)).copy()
+        # kept transposed, state by state, so that a step is one product with a few long rows
+        m = np.broadcast_to(np.eye(s, dtype=a.dtype)[:, None, :], (s, n, s)).copy()
+        flat, step, back = m.reshape(s, n * s), np.empty((s, n * s), a.dtype), np.ascontiguousarray(a.T)
         logs = np.zeros(n)
         for t in range(SEGMENT):
             k = self.active(t)
             if not k:
                 break
-            m[:k] = (m[:k].reshape(-1, s) @ a).reshape(k, s, s) * emit[self.symbols[:k, t]][:, None, :]
+            np.matmul(back, flat[:, : k * s], out=step[:, : k * s])
+            likely = np.ascontiguousarray(emit[self.symbols[:k, t]].T)
+            np.multiply(step.reshape(s, n, s)[:, :k], likely[:, :, None], out=m[:, :k])
             if t % 8 == 7 or t == SEGMENT - 1:
-                top = m[:k].max(axis=(1, 2))
-                m[:k] /= top[:, None, None]
+                top = m[:, :k].max(axis=(0, 2))
+                m[:, :k] /= top[None, :, None]
                 logs[:k] += np.log(top)
-        return m, logs
+        return np.ascontiguousarray(m.transpose(1, 2, 0)), logs
 
     def chain(self, m: np.ndarray, logs: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood of each document, and the scaled forward vector before each segment."""
@@ -168,7 +172,8 @@ def expected_counts(seg: Segments, start: np.ndarray, a: np.ndarray, emit: np.nd
         k = seg.active(t)
         step = (alpha[t, :k] @ a) * emit[seg.symbols[:k, t]]
         alpha[t + 1, :k] = step / step.sum(1, keepdims=True)
-    moves, out = np.zeros((s, s)), np.zeros((n_symbols, s))
+    moves, out = np.zeros((s, s)), np.empty((n_symbols, s))
+    said, share, done = np.empty(int(seg.size.sum()), np.int32), np.empty((int(seg.size.sum()), s), a.dtype), 0
     starts = np.zeros(s)
     is_first = np.zeros(n, bool)
     is_first[seg.back[seg.first[seg.per_doc > 0]]] = True
@@ -182,13 +187,15 @@ def expected_counts(seg: Segments, start: np.ndarray, a: np.ndarray, emit: np.nd
         back = q @ a.T
         norm = (p * back).sum(1, keepdims=True)
         moves += (p / norm).T @ q
-        gamma = (p @ a) * q / norm
-        for i in range(s):
-            out[:, i] += np.bincount(sym, gamma[:, i], minlength=n_symbols)
+        share[done : done + k] = (p @ a) * q / norm
+        said[done : done + k] = sym
+        done += k
         if t == 0:
             first = is_first[:k]
             starts += (p[first] * back[first] / norm[first]).sum(0)
         beta[:k] = back / back.max(1, keepdims=True)
+    for i in range(s):
+        out[:, i] = np.bincount(said, share[:, i], minlength=n_symbols)
     return np.concatenate([starts, (moves * a).ravel(), out.ravel()])
 
 
@@ -208,6 +215,15 @@ def _docs_of(row: dict, wanted: np.ndarray, symbols: int) -> tuple[np.ndarray, n
     return out, full
 
 
+def _groups(lengths: np.ndarray, tokens: int = 160_000) -> Iterator[slice]:
+    """Runs of documents of about so many tokens: their matrices stay in a core's cache."""
+    ends, lo = np.cumsum(lengths), 0
+    while lo < len(lengths):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + tokens)))
+        yield slice(lo, hi)
+        lo = hi
+
+
 def _expect(shared, lo: int, hi: int, symbols: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, a, emit = shared.value
@@ -219,8 +235,8 @@ def _expect(shared, lo: int, hi: int, symbols: int, width: int):
                 row = b.slice(i, 1).to_pylist()[0]
                 folds, held = np.asarray(row["folds"]), np.asarray(row["held"])
                 wanted = np.flatnonzero((folds >= lo) & (folds < hi) & ~held)
-                if len(wanted):
-                    got = expected_counts(Segments(*_docs_of(row, wanted, symbols)), start, a, emit)
+                for part in _groups(np.asarray(row["lengths"])[wanted]):
+                    got = expected_counts(Segments(*_docs_of(row, wanted[part], symbols)), start, a, emit)
                     sums[: len(got)] += got
                     some = True
         if some:
@@ -265,10 +281,12 @@ def _judge(shared, symbols: int, id_type: pa.DataType):
         end = np.log10((n_docs + 0.1) / (n + 0.1 * (v + 1)))
         doc = np.repeat(np.arange(len(lengths)), lengths)
         by_doc = lambda x: np.bincount(doc, x[tokens], minlength=len(lengths))
-        seg = Segments(*_docs_of(row, np.arange(len(lengths)), symbols))
         # emissions relative to the symbol's largest, whose log is added back for each token
         top = emit.max(1)
-        chain, _ = seg.chain(*seg.transfers(a, emit / top[:, None]), start)
+        chain = np.zeros(len(lengths))
+        for part in _groups(lengths):
+            seg = Segments(*_docs_of(row, np.arange(len(lengths))[part], symbols))
+            chain[part] = seg.chain(*seg.transfers(a, emit / top[:, None]), start)[0]
         log_top = np.log(top)
         chain += by_doc(log_top[classes]) + log_top[symbols]
         columns = {
