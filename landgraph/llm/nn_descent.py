@@ -9,13 +9,15 @@ and learns pairs with at least one new edge, until few lists change. Lists that
 vectors near enough to link are saturated and are enlarged; leaders whose lists are still
 saturated after the rounds are compared with all leaders, in blocks. A stated set of leaders is
 searched by brute force, and while the recall of links falls short, new random orders seed the
-graph again; a recall that falls short to the end is an error. Pairs of leaders near enough for any link of their balls are
+graph again; a recall that falls short to the end is an error. Around a vertex that very many
+vectors have as neighbour they meet in blocks, dealt anew each round. Pairs of leaders near enough for any link of their balls are
 resolved: by the triangle inequality where that decides, else member against member, in
 blocks, in double precision.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing. Shorter
 vectors count as padded with zeros. Rows are vectors of their own even where ids repeat; a
-null id is never the smallest.
+null id is never the smallest. Vectors of any length are read whole; an empty table gives an
+empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from landgraph.llm.common import Scratch, components, shuffle_partitions
 
 NEAR = "u long, v long, sim float"
+CROWD = 2048  # vectors that meet around one vertex; more are dealt anew each round
 
 
 def _prepare(dim: int):
@@ -138,7 +141,7 @@ def seeds(leaders: DataFrame, dim: int, seed: int, tables: int = 4, reach: int =
 
 
 def _local_join(best: int):
-    """Among the vectors around one vertex, each one's best pairs with at least one new edge."""
+    """Among the vectors of a group around one vertex, each one's best pairs with at least one new edge."""
 
     def emit(vertex: list, ids: list, new: list, floor: list, xs: list) -> pa.RecordBatch:
         u, v, s = [], [], []
@@ -204,7 +207,11 @@ def descend(leaders: DataFrame, dim: int, cut: float, scratch: Scratch, *, k: in
         both = both.groupBy("at", "u").agg(F.max("new").alias("new"))
         busy = both.filter("new").select("at").distinct()
         around = both.join(busy, "at").join(lists.select("u", "low"), "u").join(leaders.select(F.col("v").alias("u"), "x"), "u")
-        around = around.repartition(shuffle_partitions(leaders.sparkSession), "at").sortWithinPartitions("at").select("at", "u", "new", "low", "x")
+        # a vertex that very many have as neighbour is no single group: its vectors meet in blocks, others in each round
+        crowds = scratch.save(both.groupBy("at").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD), f"crowds{step}")
+        block = F.coalesce(F.pmod(F.xxhash64("u", F.lit(step)), F.ceil(F.col("n") / CROWD)), F.lit(0))
+        around = around.join(crowds, "at", "left").withColumn("group", F.xxhash64("at", block))
+        around = around.repartition(shuffle_partitions(leaders.sparkSession), "group").sortWithinPartitions("group").select("group", "u", "new", "low", "x")
         found = around.mapInArrow(_local_join(best), NEAR).withColumn("new", F.lit(True))
         merged = graph.select("u", "v", "sim").withColumn("new", F.lit(False)).union(found.select("u", "v", "sim", "new"))
         graph = scratch.save(_top(merged, lists.select(F.col("u").alias("v"), "k")), f"graph{step}")

@@ -172,7 +172,7 @@ def _bin_numbers(bins: list[list[int]], n: int) -> np.ndarray:
 
 
 def _island(capacity: int, population: int, generations: int, islands: int, epoch: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable", ignore_index=True)
         lengths = pdf.length.tolist()
         came = []
@@ -196,7 +196,9 @@ def pack(
     """Places rows (key long unique, length long) of at most `capacity` into sequences: (key, sequence_id, offset)."""
     n = pieces.filter(F.col("length") < capacity).count()
     shards = max(1, -(-n // shard_items))
-    full = pieces.filter(F.col("length") >= capacity).select("key", F.concat(F.lit("f"), F.col("key")).alias("bin"), "length")
+    # a sequence's number: its kind in the last two bits, before it the full piece's key, or shard and bin
+    number = lambda kind: F.shiftleft(F.shiftleft(F.col("shard").cast("long"), 32) + F.col("elite"), 2) + kind
+    full = pieces.filter(F.col("length") >= capacity).select("key", (F.when(F.col("key") < 1 << 61, F.shiftleft("key", 2)).otherwise(F.raise_error(F.lit("piece keys out of range")))).alias("bin"), "length")
 
     def epochs_of(items: DataFrame, shards: int, label: str) -> DataFrame:
         """(key, length, shard, elite): the best island's packing of each shard."""
@@ -214,13 +216,13 @@ def pack(
         good = first.filter(F.col("fill") >= F.lit(finish_below * capacity))
         rest = first.filter(F.col("fill") < F.lit(finish_below * capacity)).select("key", "length")
         again = max(1, -(-rest.count() // shard_items))
-        done = good.select("key", F.concat_ws("-", F.lit("a"), "shard", "elite").alias("bin"), "length")
-        done = done.union(epochs_of(rest, again, "b").select("key", F.concat_ws("-", F.lit("b"), "shard", "elite").alias("bin"), "length"))
+        done = good.select("key", number(1).alias("bin"), "length")
+        done = done.union(epochs_of(rest, again, "b").select("key", number(2).alias("bin"), "length"))
     else:
-        done = first.select("key", F.concat_ws("-", F.lit("a"), "shard", "elite").alias("bin"), "length")
+        done = first.select("key", number(1).alias("bin"), "length")
     order = Window.partitionBy("bin").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     placed = full.union(done).withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
-    return placed.select("key", F.xxhash64("bin").alias("sequence_id"), "offset")
+    return placed.select("key", F.col("bin").alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = True, **kw) -> DataFrame:

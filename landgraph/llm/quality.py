@@ -6,14 +6,17 @@ its labelled examples over-represent. Grouped aggregation over hosts and paths o
 the documents' probabilities into posteriors of each site: a host's rate is shrunk toward the
 global rate, a path's toward its host's, by Beta priors whose strength is estimated from the
 variance between sites (method of moments), so sparse sites stay near the prior and large
-ones speak for themselves. A document's posterior odds are its evidence times its path's odds.
+ones speak for themselves. A document's posterior odds are its evidence times its path's odds,
+where the path's rate leaves the document itself out, so its evidence counts once.
 
 Both classifiers are fitted on at most `max_labels` labelled documents, picked by a hash of
 their id, whatever the corpus' size; site counts cover all documents.
 
 Null texts are empty. Null hosts and paths are sites of their own. Repeated rows count and
-are scored each for itself. Labels for unknown ids are ignored; without labels of both
-classes a classifier says nothing and every document is kept by it.
+are scored each for itself, a null id like any other. Labels for unknown ids are ignored;
+without labels of both classes a classifier says nothing and every document is kept by it.
+Texts are read whole, however long; an empty table gives an empty result; other columns,
+whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -218,14 +221,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, max_l
 
 
 def shrunk(sites: DataFrame, prior: str, fallback: float) -> DataFrame:
-    """Adds `rate`: (k * prior + good) / (k + n), with k from the variance between sites beyond chance."""
+    """Adds `rate`: (k * prior + good) / (k + n), and `k`, from the variance between sites beyond chance."""
     gap = (F.col("good") / F.col("n") - F.col(prior)) ** 2
     chance = F.col(prior) * (1 - F.col(prior))
     s = sites.filter("n >= 2").agg(F.sum(F.col("n") * gap).alias("gap"), F.sum(chance).alias("noise"), F.sum("n").alias("n"), F.sum(F.col("n") * chance).alias("chance")).first()
     between = max(0.0, (s.gap or 0.0) - (s.noise or 0.0)) / max(1, s.n or 0)
     inside = (s.chance or 0.0) / max(1, s.n or 0)
     k = min(1e6, max(1.0, inside / between - 1)) if between > 0 else fallback
-    return sites.withColumn("rate", (F.lit(k) * F.col(prior) + F.col("good")) / (F.lit(k) + F.col("n")))
+    return sites.withColumns({"rate": (F.lit(k) * F.col(prior) + F.col("good")) / (F.lit(k) + F.col("n")), "k": F.lit(float(k))})
 
 
 def classify(
@@ -240,19 +243,27 @@ def classify(
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"))
     kind = dict(rows.dtypes)["id"]
     rows = rows.mapInArrow(_score(spark.sparkContext.broadcast((quality, toxic, lexicon))), f"id {kind}, host string, path string, evidence double, toxic_logit double")
-    rows = scratch.save(rows, "scored")
+    out = posteriors(scratch.save(rows, "scored"), rate, scratch)
+    out = out.withColumn("kept", (F.col("quality") >= quality_cut) & (F.col("toxic") < toxic_cut))
+    return out.select(F.col("id").alias(id_col), "quality", "toxic", "host_rate", "path_rate", "kept")
+
+
+def posteriors(rows: DataFrame, rate: float, scratch: Scratch) -> DataFrame:
+    """Rows (id, host, path, evidence, toxic_logit) with quality, toxic, host_rate and path_rate; `rate` is the share of good labels.
+
+    A document's path_rate is its path's without the document itself.
+    """
     p = 1 / (1 + F.exp(-F.col("evidence")))
-    paths = rows.groupBy("host", "path").agg(F.sum(p).alias("good"), F.count(F.lit(1)).alias("n"))
-    paths = scratch.save(paths, "paths")
+    paths = scratch.save(rows.groupBy("host", "path").agg(F.sum(p).alias("good"), F.count(F.lit(1)).alias("n")), "paths")
     total = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     overall = (total.good / total.n) if total.n else rate
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).withColumn("overall", F.lit(float(overall)))
     hosts = shrunk(hosts, "overall", 1e6).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"))
     paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("__host"))).drop("__host")
-    paths = shrunk(paths, "host_rate", 1e6).select(F.col("host").alias("__host"), F.col("path").alias("__path"), "host_rate", F.col("rate").alias("path_rate"))
+    paths = shrunk(paths, "host_rate", 1e6).select(F.col("host").alias("__host"), F.col("path").alias("__path"), "host_rate", "good", "n", "k")
     paths = scratch.save(paths, "rates")
     out = rows.join(paths, F.col("host").eqNullSafe(F.col("__host")) & F.col("path").eqNullSafe(F.col("__path")))
+    others = (F.col("k") * F.col("host_rate") + F.greatest(F.col("good") - p, F.lit(0.0))) / (F.col("k") + F.col("n") - 1)
+    out = out.withColumn("path_rate", F.least(F.greatest(others, F.lit(1e-9)), F.lit(1 - 1e-9)))
     odds = F.col("evidence") - F.lit(float(np.log(rate / (1 - rate)))) + F.log(F.col("path_rate") / (1 - F.col("path_rate")))
-    out = out.withColumns({"quality": 1 / (1 + F.exp(-odds)), "toxic": 1 / (1 + F.exp(-F.col("toxic_logit")))})
-    out = out.withColumn("kept", (F.col("quality") >= quality_cut) & (F.col("toxic") < toxic_cut))
-    return out.select(F.col("id").alias(id_col), "quality", "toxic", "host_rate", "path_rate", "kept")
+    return out.withColumns({"quality": 1 / (1 + F.exp(-odds)), "toxic": 1 / (1 + F.exp(-F.col("toxic_logit")))})

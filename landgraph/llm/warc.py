@@ -1,16 +1,18 @@
 """WARC archives: writing with segmented, chunk-framed records and reading them back.
 
 Records are written by Spark's text sink, whose row separator is the WARC record separator,
-and compressed, so archives land on any file system Spark knows, through its commit protocol. A payload over
+and compressed, so archives land on any file system Spark knows, through its commit protocol;
+a task begins a new archive after so many records that none holds over `archive_bytes`. A payload over
 `segment_bytes` is split into a first record and continuation records; bodies are framed as
-HTTP chunks. Reading parses whole archive files by Content-Length, groups continuation
+HTTP chunks. Reading streams through archive files by Content-Length, groups continuation
 records by their origin's identifier, orders them by segment number, checks the total length
 and the digest, and decodes the chunks.
 
 Of rows with equal payloads of at least `min_bytes`, that with the smallest id is a response
 and the others revisit it; rows that share this smallest id are all responses. A null payload
 is empty. A null id revisits, unless all ids of its payload are null. Each row has a record
-of its own, also when rows repeat.
+of its own, also when rows repeat. Payloads are kept whole, however long; an empty table gives
+no records; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -80,7 +83,7 @@ def _records(segment_bytes: int, date: str):
     return run
 
 
-def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload: Column, min_bytes: int = 0, segment_bytes: int = 64 << 10, date: str = "2024-01-01T00:00:00Z", partitions: int | None = None) -> None:
+def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload: Column, min_bytes: int = 0, segment_bytes: int = 64 << 10, archive_bytes: int = 512 << 20, date: str = "2024-01-01T00:00:00Z", partitions: int | None = None) -> None:
     """Writes one response or revisit record, with its continuations, for each row."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(payload.cast("binary"), F.lit(b"")).alias("payload"))
     digested = rows.withColumn("digest", F.sha1("payload"))
@@ -93,24 +96,27 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     if partitions:
         kinds = kinds.repartition(partitions)
     # the sink writes a string column's bytes as they are
-    kinds.mapInArrow(_records(segment_bytes, date), "record binary").select(F.col("record").cast("string")).write.option("lineSep", END).option("compression", "gzip").text(path)
-
-
-def parse_archive(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """The records of an archive, by Content-Length."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
+    kinds.mapInArrow(_records(segment_bytes, date), "record binary").select(F.col("record").cast("string")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, archive_bytes // (segment_bytes + 1024))).text(path)
+
+
+def parse_archive(data: bytes | io.BufferedIOBase) -> Iterator[tuple[dict, bytes]]:
+    """The records of an archive, by Content-Length, one at a time."""
+    f = io.BytesIO(data) if isinstance(data, bytes) else data
+    while True:
+        line = f.readline()
+        if not line:
+            return
+        if not line.startswith(b"WARC/"):
+            raise ValueError("no record where one should begin")
+        head = {}
+        while (line := f.readline()) not in (b"\r\n", b""):
+            k, v = line.decode().rstrip("\r\n").split(": ", 1)
+            head[k] = v
         size = int(head["Content-Length"])
-        block = data[stop + 4 : stop + 4 + size]
-        if len(block) != size or data[stop + 4 + size : stop + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"broken record at byte {at}")
+        block = f.read(size)
+        if len(block) != size or f.read(4) != b"\r\n\r\n":
+            raise ValueError(f"broken record {head.get('WARC-Record-ID')}")
         yield head, block
-        at = stop + 8 + size
 
 
 RECORDS = "warc_type string, record_id string, origin string, segment int, total long, key string, refers string, digest string, payload_bytes long, url string, block binary"
@@ -128,7 +134,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in b.column(0):
             rows, held = [], 0
             raw = data.as_buffer().to_pybytes()
-            for h, block in parse_archive(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+            for h, block in parse_archive(gzip.open(io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else raw):
                 rows.append((h["WARC-Type"], h["WARC-Record-ID"], h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), number(h.get("WARC-Segment-Number")), number(h.get("WARC-Segment-Total-Length")), h.get("X-Source-Key"), h.get("X-Refers-To-Key"), h.get("WARC-Payload-Digest"), number(h.get("X-Payload-Length")), h.get("WARC-Target-URI"), block))
                 held += len(block)
                 if held > 4 << 20:
@@ -141,7 +147,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         payloads, digests = [], []
-        for kind, block in zip(b.column("warc_type").to_pylist(), b.column("block").to_pylist(), strict=True):
+        for kind, block, parts, total in zip(*(b.column(n).to_pylist() for n in ("warc_type", "block", "parts", "total")), strict=True):
+            if parts is not None:
+                block = b"".join(p["block"] for p in parts)
+                if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)) or len(block) != total:
+                    raise ValueError(f"segments missing of {kind} record")
             if kind == "revisit":
                 payloads.append(None)
                 digests.append(None)
@@ -163,16 +173,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     records = files.mapInArrow(_parse, RECORDS)
-    whole = records.filter("segment is null").select("warc_type", "key", "refers", "digest", "payload_bytes", "url", "block")
+    segment = "array<struct<segment:int,block:binary>>"
+    whole = records.filter("segment is null").select("warc_type", "key", "refers", "digest", "payload_bytes", "url", "block", F.lit(None).cast(segment).alias("parts"), "total")
     parts = records.filter("segment is not null").groupBy("origin").agg(
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
         F.max("total").alias("total"),
         *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("warc_type", "key", "refers", "digest", "payload_bytes", "url")),
     )
-    in_order = (F.element_at("parts", -1)["segment"] == F.size("parts")) & (F.element_at("parts", 1)["segment"] == 1)
-    block = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["block"]))
-    parts = parts.withColumn("block", block).withColumn("block", F.when(in_order & (F.length("block") == F.col("total")), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing of "), "origin"))))
-    joined = whole.union(parts.select(*whole.columns))
+    joined = whole.unionByName(parts.withColumn("block", F.lit(None).cast("binary")).select(*whole.columns))
     out = joined.mapInArrow(_decode, "warc_type string, key string, refers string, digest string, payload_bytes long, url string, payload binary, found_digest string")
     sound = F.col("found_digest").isNull() | ((F.col("found_digest") == F.col("digest")) & (F.length("payload") == F.col("payload_bytes")))
     return out.withColumn("digest", F.when(sound, F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), "url")))).drop("found_digest")

@@ -22,6 +22,89 @@ def prose(rng, n):
     return " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
 
 
+def plain_contamination(docs, items, window=8, coverage=0.6, agreement=0.8):
+    """Every document against every item, window by window, in plain Python."""
+    from landgraph.llm.decontaminate import UNITS
+
+    def canonical(text):
+        out, run = [], []
+        for raw in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+            word = raw.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+            if not word:
+                continue
+            if word[0].isupper() and run is not None:
+                run.append((word, raw))
+            else:
+                out += flush(run)
+                run = []
+                out.append(("<num>" if word[0].isdigit() and re.fullmatch(r"[0-9.,:/%+-]+", word) else "<qty>" if word[0].isdigit() else "<unit>" if word.lower() in UNITS else word.lower(), word.lower()))
+            if run and raw != raw.rstrip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
+                out += flush(run)
+                run = []
+        return out + flush(run)
+
+    def flush(run):
+        words = [w for w, _ in run]
+        if not words:
+            return []
+        return [("<name>", " ".join(words).lower())] if len(words) < 5 else [("<unit>" if w.lower() in UNITS else w.lower(), w.lower()) for w in words]
+
+    found = set()
+    for d, text in docs:
+        a = canonical(text)
+        for k, other in items:
+            b = canonical(other)
+            width = min(window, len(b))
+            if not width:
+                continue
+            n = len(b) - width + 1
+            hits = sorted((i - j, j, i) for i in range(len(a) - width + 1) for j in range(n) if all(x[0] == y[0] for x, y in zip(a[i : i + width], b[j : j + width], strict=True)))
+            groups = []
+            for h in hits:
+                if not groups or h[0] - groups[-1][-1][0] > max(4, n // 8):
+                    groups.append([])
+                groups[-1].append(h)
+            for g in groups:
+                if len({j for _, j, _ in g}) / n < coverage:
+                    continue
+                pairs = {(b[j + s][1], a[i + s][1]) for _, j, i in g for s in range(width) if b[j + s][0].startswith("<")}
+                pairs = {(x, y) for x, y in pairs if x != y or sum(x == z for z, _ in pairs) > 1 or sum(y == z for _, z in pairs) > 1}
+                if not pairs or min(len({x for x, _ in pairs}), len({y for _, y in pairs})) / len(pairs) >= agreement:
+                    found.add((d, k))
+                    break
+    return found
+
+
+def test_contamination_equals_a_plain_version(spark):
+    rng = random.Random(21)
+    names = ["Alice", "Bob Stone", "Carla", "Dan Lee Fox"]
+    base = "{0} has {1} apples and 3 kg of pears . {0} buys {2} apples from {3} , who sells them for {4} dollars each day . How many apples does {0} hold now ?"
+    items = [(0, base.format("Alice", 5, 4, "Tom", 9)), (1, prose(rng, 40)), (2, prose(rng, 12)), (3, "only four words here"), (4, prose(rng, 20) + " Mary Smith " + prose(rng, 20)), (5, None)]
+    docs = []
+    for i in range(40):
+        text = prose(rng, 60)
+        kind = i % 8
+        who = rng.choice(names)
+        if kind == 0:
+            text += ". " + base.format(who, rng.randrange(20, 30), rng.randrange(30, 40), rng.choice(["Tom", "Ute"]), rng.randrange(40, 50)) + " " + prose(rng, 10)
+        elif kind == 1:  # a word put in about the middle
+            words = items[1][1].split()
+            text += " " + " ".join([*words[:20], "inserted", *words[20:]])
+        elif kind == 2:
+            text = items[2][1] + " " + text
+        elif kind == 3:
+            text += " only four words here"
+        elif kind == 4:
+            text += " " + items[4][1].replace("Mary Smith", who)
+        elif kind == 5:  # too little of it
+            text += " " + " ".join(items[1][1].split()[:20])
+        docs.append((i, text))
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = plain_contamination(docs, items)
+    assert got == want
+    assert {(i, 0) for i in range(0, 40, 8)} <= got and {(i, 1) for i in range(1, 40, 8)} <= got and not {d for d, _ in got if d % 8 in (5, 6, 7)}
+
+
 def test_contaminated_documents(spark):
     rng = random.Random(8)
     items = [(i, prose(rng, 30)) for i in range(20)] + [(50, "a farmer sells 12 kg of apples to Mary in March and 12 kg of pears to Peter in April for 30 dollars each"), (51, None), (52, ""), (53, "one two three")]
@@ -72,6 +155,41 @@ def test_quality_and_toxicity(spark):
     assert classify(d.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_posteriors_equal_a_plain_version(spark):
+    from landgraph.llm.quality import posteriors
+
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["a", "b", "c", None]), rng.choice(["x", "y", None]), rng.gauss(1 if i % 3 else -1, 2), rng.gauss(-3, 1)) for i in range(300)] + [(900, "lone", "z", 2.0, -3.0)]
+    got = {r.id: (r.quality, r.toxic, r.host_rate, r.path_rate) for r in posteriors(spark.createDataFrame(rows, "id long, host string, path string, evidence double, toxic_logit double"), 0.7, Scratch(spark, "p")).collect()}
+    p = {r[0]: 1 / (1 + math.exp(-r[3])) for r in rows}
+
+    def shrink(sites, prior):  # site -> [good, n]; prior: site -> rate
+        big = {s: v for s, v in sites.items() if v[1] >= 2}
+        n = sum(v[1] for v in big.values())
+        gap = sum(v[1] * (v[0] / v[1] - prior(s)) ** 2 for s, v in big.items())
+        noise = sum(prior(s) * (1 - prior(s)) for s in big)
+        inside = sum(v[1] * prior(s) * (1 - prior(s)) for s, v in big.items()) / n
+        between = max(0.0, gap - noise) / n
+        return min(1e6, max(1.0, inside / between - 1)) if between > 0 else 1e6
+
+    hosts, paths = {}, {}
+    for i, h, q, _, _ in rows:
+        for sites, key in ((hosts, h), (paths, (h, q))):
+            v = sites.setdefault(key, [0.0, 0])
+            v[0] += p[i]
+            v[1] += 1
+    overall = sum(p.values()) / len(rows)
+    k = shrink(hosts, lambda s: overall)
+    rate = {h: (k * overall + g) / (k + n) for h, (g, n) in hosts.items()}
+    k = shrink(paths, lambda s: rate[s[0]])
+    for i, h, q, e, t in rows:
+        g, n = paths[h, q]
+        own = (k * rate[h] + g - p[i]) / (k + n - 1)
+        odds = e - math.log(0.7 / 0.3) + math.log(own / (1 - own))
+        want = (1 / (1 + math.exp(-odds)), 1 / (1 + math.exp(-t)), rate[h], own)
+        assert all(abs(x - y) < 1e-9 for x, y in zip(got[i], want, strict=True))
+
+
 def test_sparse_sites_shrink(spark):
     from landgraph.llm.quality import shrunk
 
