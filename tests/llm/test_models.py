@@ -367,3 +367,27 @@ def test_pipeline(spark, corpus):
     assert set(kept["near_dedup"]) == clean - {500} and set(kept["decontaminate"]) == clean - {500, 501}
     rows = corpus_pipeline.run(spark, corpus).collect()
     assert {r.doc_id for r in rows} == clean - {500, 501} and all(r.length <= 2048 for r in rows)
+
+
+def test_stages_of_odd_tables(spark, corpus):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    same = prose(rng, 40) + "."
+    rows = [(1, prose(rng, 60) + ".", "en", "s0", 0, "a", 7, 0.5), (None, same, "en", "s1", 0, "b", 7, 0.5), (2, same, None, None, 0, None, None, None), (3, same, "en", "s1", 0, "c", 7, 0.5), (4, None, "en", "s1", 0, "d", 1, 0.1), (5, "", "en", "s1", 0, "e", 1, 0.1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_lines int, quality double"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.createDataFrame(rows, schema).repartition(2)
+    for name in ("quality", "line_dedup", "near_dedup", "decontaminate"):
+        out = stages[name](spark, docs, corpus)
+        assert out.columns == docs.columns
+        got = {(r.doc_id, r.kept, r.n_lines, r.quality) for r in out.collect()}
+        assert got <= {(r[0], r[5], r[6], r[7]) for r in rows}
+        if name == "line_dedup":  # three documents have the same only line, which the largest id keeps
+            assert {g[0] for g in got} == {1, 3, 4, 5}
+        else:
+            assert None in {g[0] for g in got}
+        if name == "near_dedup":  # of equal texts the smallest id stays, and the row that no verdict can name
+            assert {g[0] for g in got} == {1, 2, None, 4, 5}
+        assert stages[name](spark, docs.limit(0), corpus).count() == 0
+    assert {r.doc_id for r in stages["packing"](spark, docs, corpus).collect()} == {1, 2, 3, 4, 5, None}

@@ -181,6 +181,66 @@ def test_repeated_passages_are_found_wherever_they_stand(spark):
     assert repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_equal_a_plain_version(spark):
+    rng = random.Random(31)
+    shared = [prose(rng, n) for n in (52, 80, 120)]
+    paragraphs = [prose(rng, n) for n in (30, 45, 60)]
+    docs = []
+    for i in range(24):
+        lines = [prose(rng, rng.choice([10, 40, 90])) for _ in range(3)]
+        if i % 2:  # pasted into a paragraph
+            at = rng.randrange(len(lines[1]))
+            lines[1][at:at] = shared[i % 3]
+        if i % 3 == 0:  # a near copy of a paragraph, of which some words differ
+            own = list(paragraphs[i % 9 // 3])
+            for _ in range(rng.choice([0, 1, 1, 6])):
+                own[rng.randrange(len(own))] = f"own{i}"
+            lines.insert(rng.randrange(3), own)
+        docs.append((i, lines))
+    df = spark.createDataFrame([(i, "\n".join(map(" ".join, lines))) for i, lines in docs], "doc_id long, text string")
+    rows = repeated_passages(df).collect()
+    words = {i: [w for line in lines for w in line] for i, lines in docs}
+    gone = {i: set() for i, _ in docs}
+    for r in rows:
+        gone[r.doc_id] |= set(range(r.start, r.start + r.n_words))
+        if not r.paragraph:  # an exact repeat that cannot be made longer
+            a, b, n = words[r.doc_id], words[r.kept_id], r.n_words
+            assert a[r.start : r.start + n] == b[r.kept_start : r.kept_start + n]
+            assert r.start == 0 or r.kept_start == 0 or a[r.start - 1] != b[r.kept_start - 1]
+            assert a[r.start + n : r.start + n + 1] != b[r.kept_start + n : r.kept_start + n + 1] or r.start + n == len(a)
+    # every word of a later occurrence of a run of 50 words that two documents share
+    seen = {}
+    for i, _ in docs:
+        runs = {tuple(words[i][k : k + 50]): k for k in range(len(words[i]) - 49)}
+        for run, k in runs.items():
+            if run in seen:
+                assert set(range(k, k + 50)) <= gone[i]
+            seen.setdefault(run, i)
+    # paragraphs of 25 words and more: all but the first of each component of Jaccard similarity 0.8
+    units, found = [], set()
+    for i, lines in docs:
+        at = 0
+        for line in lines:
+            if len(line) >= 25:
+                units.append((i, at, shingles(line)))
+            at += len(line)
+    parent = list(range(len(units)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, (_, _, a) in enumerate(units):
+        for y in range(x):
+            b = units[y][2]
+            if len(a & b) >= 0.8 * len(a | b):
+                p, q = sorted((find(x), find(y)))
+                parent[q] = p
+    found = {(units[x][0], units[x][1]) for x in range(len(units)) if find(x) != x}
+    assert {(r.doc_id, r.start) for r in rows if r.paragraph} == found and found
+
+
 @pytest.mark.parametrize("width", [1, 2, 3, 24, 25, 26])
 def test_sliding_minimum(width):
     x = np.random.default_rng(0).integers(0, 100, 80)
