@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's
 result as Parquet to the shared folder and gives it to the next one. All stages but the last
-keep the columns of documents.
+keep the columns of documents, others of any name included.
+
+A stage names the documents that it rejects by doc_id: rows that share an id go together, and
+a row without an id, which no verdict can name, stays. Null and empty texts are texts without
+words: the classifier judges them, and line_dedup drops a document only where its lines were
+taken from it. Texts are read whole, however long; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,9 +35,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; those of which nothing is left go."""
-    out = dedup_lines(docs)
+    aside = {c: f"__own_{c}" for c in docs.columns if c in ("n_lines", "n_dropped")}
+    out = dedup_lines(docs.withColumnsRenamed(aside))
     out = out.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.drop(*aside).withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
