@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landgraph.llm import oracles
+from landgraph.llm.byte_bpe import decode_ids, encode_texts
 from landgraph.llm.common import Scratch
 from landgraph.llm.decontaminate import contaminated
 from landgraph.llm.hidden_markov import score_texts
 from landgraph.llm.licenses import TEMPLATES, scan_licenses
 from landgraph.llm.line_dedup import dedup_lines
+from landgraph.llm.merkle import Manifest, folded, leaf_digest, proof_digest
 from landgraph.llm.near_dedup import near_duplicates
 from landgraph.llm.nn_descent import near_vectors
 from landgraph.llm.packing import pack_documents
 from landgraph.llm.passages import repeated_passages
 from landgraph.llm.quality import classify
+from landgraph.llm.spelling import count_words, spelling_variants
 from landgraph.llm.warc import read_archives, write_archives
 from landgraph.session import table
 
@@ -74,6 +78,30 @@ def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = count_words(table(spark, sf_dir, "documents"), min_length=5, min_count=3, delete_every=97)
+    return spelling_variants(words, ratio=2)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    without_breaks = [F.translate("text", "\n", "") if c == "text" else F.col(c) for c in fields]
+    tampers = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    manifest = Manifest(table(spark, sf_dir, "documents"), fields=fields, carry={"tampered": F.when(tampers, leaf_digest(without_breaks))})
+    rows = manifest.proofs().withColumn("folded_root", folded(F.coalesce("member.tampered", "leaf"), F.col("path")))
+    proof = proof_digest(F.col("path")).alias("proof_sha256")
+    return rows.select(F.col("member.id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = decode_ids(encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 _KEY = r"translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
@@ -123,6 +151,12 @@ SELECT doc_id, unit, unit_no, license, CAST(dice AS DOUBLE) AS dice FROM s WHERE
 QUALIFY row_number() OVER (PARTITION BY r, unit, unit_no ORDER BY dice DESC, license) = 1"""
 
 
-SQL["op8_license_scan"] = _license_sql()
+SQL |= {"op8_license_scan": _license_sql(), "op11_spelling_variants": oracles.SPELLING, "op12_merkle_manifest": oracles.MERKLE}
 
-QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_line_dedup, op3_decontamination, op4_quality_classifier, op5_best_fit_packing, op6_warc, op7_substring_dedup, op8_license_scan, op9_minhash_near_dedup, op10_hidden_markov)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_nn_descent, op2_line_dedup, op3_decontamination, op4_quality_classifier, op5_best_fit_packing, op6_warc, op7_substring_dedup,
+        op8_license_scan, op9_minhash_near_dedup, op10_hidden_markov, op11_spelling_variants, op12_merkle_manifest, op13_byte_bpe,
+    )
+}
