@@ -42,7 +42,7 @@ def nearest_within(points: DataFrame, places: DataFrame, point_id: str, place_id
 
 def resolution(has_number: Column, has_point: Column, number_hit: Column, spatial_hit: Column, metres: Column, cached: Column, limit: float = 500.0) -> Column:
     """STRUCT(method, resolved, reason) of a record's parcel; hits are parcel numbers or null."""
-    far = F.concat(F.lit("arn_too_far_"), F.round(metres).cast("int").cast("string"), F.lit("m"))
+    far = F.concat(F.lit("arn_too_far_"), F.floor(metres).cast("string"), F.lit("m"))
     out = lambda m, r, why=F.lit(None).cast("string"): F.struct(F.lit(m).alias("method") if isinstance(m, str) else m.alias("method"), r.alias("resolved"), why.alias("reason"))
     none = F.lit(None).cast("string")
     return (

@@ -20,6 +20,7 @@ LABELS = (
     ("The Oaks", "building_name", None), ("Fake Elm Way", "address_line", None), ("Somebody Nameless", "contact_name", None), ("$%^", "other", None), ("Attn: Mary Smith", "contact_name", "attn"),
     ("Pres: Acme Ltd", "company_name", None), ("Attn John Smith", "contact_name", "attn"), ("Attn: Legal Department", "company_name", None), ("Sec: Jones Barristers", "law_firm", None), ("c/o Acme Ltd", "care_of", "company"),
     ("c/o 12 Main St", "care_of", "address"), ("c/o Mary Smith", "care_of", "person"), ("c/o Smith Barristers", "care_of", "law_firm"),
+    ("Hoist Catering", "company_name", None), ("Sunny Winery", "company_name", None), ("Jones Welding", "company_name", None), ("Special Accounts", "company_name", None), ("Audi Oakville", "company_name", None),
 )
 #: line, number, name, suffix, direction, unit, type, display
 ADDRESSES = (

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def file_stream(spark: SparkSession, path: str, schema, per_trigger: int = 100) -> DataFrame:
@@ -61,9 +62,10 @@ def _versions(spark: SparkSession, path: str, below: int = 10**12) -> dict[int,
     return {r.share: r.v for r in spark.read.parquet(names[-1]).collect()} if names else {}
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The table that upsert_latest() keeps."""
-    return spark.read.parquet(*(f"{path}/v={v}/share={s}" for s, v in sorted(_versions(spark, path).items())))
+def read_latest(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The table that upsert_latest() keeps, empty before the first batch."""
+    versions = sorted(_versions(spark, path).items())
+    return spark.read.schema(schema).parquet(*(f"{path}/v={v}/share={s}" for s, v in versions)) if versions else spark.createDataFrame([], schema)
 
 
 def hourly(events: DataFrame, ts: str, late: str = "1 hour", width: str = "1 hour") -> DataFrame:

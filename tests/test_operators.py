@@ -85,13 +85,14 @@ def test_upserts_over_skipped_batches(spark, tmp_path):
     from landgraph.streaming import feeds
 
     path = f"file://{tmp_path}/table"
+    assert feeds.read_latest(spark, path, "k int, t int").count() == 0
     each = feeds.upsert_latest(path, "k", F.desc("t"), shares=4)
     rows = lambda *r: spark.createDataFrame(r, "k int, t int")
     each(rows((1, 1), (2, 1), (3, 9)), 0)
     each(rows((1, 5)), 2)  # a batch number was left out
     each(rows((2, 0), (4, 4)), 5)
     each(rows((2, 0), (4, 4)), 5)  # and one is repeated
-    assert {(r.k, r.t) for r in feeds.read_latest(spark, path).select("k", "t").collect()} == {(1, 5), (2, 1), (3, 9), (4, 4)}
+    assert {(r.k, r.t) for r in feeds.read_latest(spark, path, "k int, t int").select("k", "t").collect()} == {(1, 5), (2, 1), (3, 9), (4, 4)}
 
 
 def test_export_positions_restart_in_each_file(spark, tmp_path):
