@@ -13,9 +13,9 @@ Exact bounds rule pairs out unscored. The shared weight of two members is at mos
 one's weight, and in large buckets at most the weight of those features that a member has in
 common with any other member still at work: near copies whose edits are their own are far from
 each other by that bound, however much of the original they share. Each member also has a
-profile, the weight of its features in each of 256 hash classes, rounded up to a byte, and a
-coarser one: the sum of two profiles' minima bounds the shared weight of a pair from above.
-Pivots and members meet under the coarse bound, so that what is not alike is no pair at all;
+profile, the weight of its features in each of 256 hash classes, rounded up to a byte, and one for
+joins, exact but of `classes` classes: the sum of two profiles' minima bounds the shared weight of a
+pair from above. Pivots and members meet under the latter bound, so that what is not alike is no pair at all;
 only pairs that pass the fine one meet their texts. Texts lie in buckets of the member, so a pair moves one text, once.
 """
 
@@ -33,7 +33,7 @@ from landgraph.llm.common import Scratch, components
 PIVOTS = (4, 256)  # pivots of a bucket in the second round, mostly originals, and in each later one
 LARGE = 64  # members of a bucket from which counting shared features pays
 CLASSES, STEPS = 256, 12  # of a profile: hash classes, and codes for each doubling of a weight
-COARSE = 64  # hash classes of the coarse profile
+COARSE = 64  # hash classes of the profile for joins, if nothing else is asked: a divisor of CLASSES
 LEVELS = np.append(2.0 ** (np.arange(255) / STEPS) - 1, np.inf)  # the weight that a code stands for
 
 #: Yields (rows, feature hashes, weights) for slices of a column of bodies, sorted by row and hash within each.
@@ -56,7 +56,7 @@ def jaccard(features: Features) -> Callable[[pa.Array, pa.Array], np.ndarray]:
     return score
 
 
-def profiled(payloads: DataFrame, features: Features) -> DataFrame:
+def profiled(payloads: DataFrame, features: Features, classes: int = COARSE) -> DataFrame:
     """Rows (v, w, profile, coarse, body) of payloads (v, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,8 +67,8 @@ def profiled(payloads: DataFrame, features: Features) -> DataFrame:
             codes = np.minimum(np.ceil(np.log2(1 + sums) * STEPS + 1e-6), 255) * (sums > 0)
             codes = codes.astype(np.uint8).reshape(len(b), CLASSES)
             # single precision rounds by less than a part in ten million
-            coarse = (sums.reshape(len(b), COARSE, -1).sum(2) * (1 + 1e-6)).astype(np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * COARSE, pa.int32()), pa.array(coarse.ravel()))
+            coarse = (sums.reshape(len(b), classes, -1).sum(2) * (1 + 1e-6)).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * classes, pa.int32()), pa.array(coarse.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums.reshape(len(b), CLASSES).sum(1)), pa.array([c.tobytes() for c in codes], pa.binary()), lists, b.column(1)], ["v", "w", "profile", "coarse", "body"])
 
     return payloads.select("v", "body").mapInArrow(run, "v long, w double, profile binary, coarse array<float>, body string")
@@ -139,7 +139,7 @@ def _unresolved(named: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     return scratch.save(named.join(main, "bucket"), label)
 
 
-def link_buckets(members: DataFrame, payloads: DataFrame, threshold: float, scratch: Scratch, features: Features) -> DataFrame:
+def link_buckets(members: DataFrame, payloads: DataFrame, threshold: float, scratch: Scratch, features: Features, classes: int = COARSE) -> DataFrame:
     """Components (id, component) of links between members (bucket, v) of the same bucket.
 
     Payloads are rows (v, body), partitioned by v; links have a weighted Jaccard similarity of
@@ -152,7 +152,7 @@ def link_buckets(members: DataFrame, payloads: DataFrame, threshold: float, scra
         shared = F.least(c, p_c)
         return F.when(w.isNull() | p_w.isNull(), True).otherwise(shared >= least * (w + p_w - shared))
 
-    bodies = scratch.bucketed(profiled(payloads, features), "v", "bodies")
+    bodies = scratch.bucketed(profiled(payloads, features, classes), "v", "bodies")
     heavy = bodies.groupBy("v").agg(F.when(F.count(F.lit(1)) == 1, F.first("w")).alias("w"))
     members = scratch.save(members.select("bucket", "v").join(heavy, "v"), "weighed")
     heads = scratch.save(members.groupBy("bucket").agg(F.min(F.struct("v", "w")).alias("p")), "heads")

@@ -208,7 +208,7 @@ def plain_shingles(width: int) -> Features:
 
 
 def repeated_passages(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 25, min_words: int = 25, width: int = 5, threshold: float = 0.8, rows: int = 2, recall: float = 0.999
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 25, min_words: int = 25, width: int = 5, threshold: float = 0.8, rows: int = 4, recall: float = 0.999
 ) -> DataFrame:
     """Removals (id, paragraph, start, n_words, component, kept_id, kept_start); positions count words."""
     scratch, bands = Scratch(docs.sparkSession, "passages"), tune_bands(threshold, rows, recall)
@@ -250,7 +250,8 @@ def repeated_passages(
     again = whole.select("id", F.lit(False).alias("paragraph"), "start", "n_words", F.xxhash64("kept_id", "kept_start").alias("component"), F.struct(F.col("kept_id").alias("id"), F.col("kept_start").alias("start")).alias("kept"))
 
     bodies = reads.filter("paragraph").select("v", "body").dropDuplicates(["v"])
-    labels = link_buckets(members, bodies, threshold, scratch, plain_shingles(width))
+    # copies whose edits are their own are apart by a few shingles: only many classes tell them from similar ones
+    labels = link_buckets(members, bodies, threshold, scratch, plain_shingles(width), classes=256)
     root = classes.join(labels.withColumnRenamed("id", "h"), "h", "left").select("h", "kept", F.coalesce("component", "h").alias("component"))
     root = scratch.save(root, "root")
     keeper = scratch.save(root.groupBy("component").agg(F.min("kept").alias("kept")), "keeper")
