@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 4_000_000  # characters of matches that a task remembers
+CACHE = 1_500_000  # characters of matches that a task remembers
 LONG, RUN = 1_000_000, 200_000  # a text of so many characters is encoded in runs of so many matches
 SLICE = 1_000_000  # bytes of texts that are encoded together
 NORMAL, UNKNOWN, BPE = 1, 2, 2  # kinds of sentencepiece's model format
