@@ -44,7 +44,7 @@ def distinct_shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray,
 
 def _frequencies(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs = np.zeros(1 << BITS, np.int32), 0
+        counts, docs = np.zeros(1 << BITS, np.int64), 0
         for b in batches:
             docs += len(b)
             for words in word_slices(b.column(0)):
@@ -52,7 +52,7 @@ def _frequencies(width: int):
                 # a bucket counts a document once
                 key = (doc.astype(np.uint64) << np.uint64(BITS)) | (h >> np.uint64(64 - BITS))
                 seen = np.unique(key) & np.uint64((1 << BITS) - 1)
-                counts += np.bincount(seen.astype(np.int64), minlength=1 << BITS).astype(np.int32)
+                counts += np.bincount(seen.astype(np.int64), minlength=1 << BITS)
         if docs:
             yield slices(counts, PARTS)
 
@@ -62,7 +62,7 @@ def _frequencies(width: int):
 def inverse_frequencies(texts: DataFrame, width: int) -> np.ndarray:
     """For each hashed bucket, 1 + log((1 + documents) / (1 + documents with a shingle of it))."""
     n = texts.count()
-    df = sum_vectors(texts.mapInArrow(_frequencies(width), "part int, data binary"), 1 << BITS, "int32")
+    df = sum_vectors(texts.mapInArrow(_frequencies(width), "part int, data binary"), 1 << BITS, "int64")
     return (1 + np.log((1 + n) / (1 + df.astype(np.float64)))).astype(np.float32)
 
 
