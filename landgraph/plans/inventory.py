@@ -265,4 +265,4 @@ def k2_k4_incremental_upsert(spark, d):
     for _ in range(2):  # the second run finds nothing new: the checkpoint knows the names
         feeds.run_once(feeds.file_stream(spark, f"{root}/in", rows.schema, per_trigger=1), f"{root}/checkpoint", each)
     known = table(spark, d, "events").filter("event_type = 'purchase'").groupBy("user_id").agg(F.min("value").alias("v"))
-    return feeds.read_latest(spark, f"{root}/out", rows.schema).join(known, "user_id", "left").select("user_id", "event_id", F.col("v").isNull().alias("orphan"))
+    return feeds.read_latest(spark, f"{root}/out", rows.schema, "user_id", F.desc("ts"), F.desc("event_id")).join(known, "user_id", "left").select("user_id", "event_id", F.col("v").isNull().alias("orphan"))

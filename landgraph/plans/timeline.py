@@ -54,7 +54,7 @@ def k1_k3_stream_upsert(spark, d):
     rows.select("event_id", "ts", "user_id").repartitionByRange(3, "event_id").write.parquet(f"{root}/in")
     stream = feeds.file_stream(spark, f"{root}/in", rows.select("event_id", "ts", "user_id").schema, per_trigger=1)
     feeds.run_once(stream, f"{root}/checkpoint", feeds.upsert_latest(f"{root}/out", "user_id", F.desc("ts"), F.desc("event_id")))
-    return feeds.read_latest(spark, f"{root}/out", rows.select("user_id", "event_id", "ts").schema).select("user_id", "event_id")
+    return feeds.read_latest(spark, f"{root}/out", rows.select("event_id", "ts", "user_id").schema, "user_id", F.desc("ts"), F.desc("event_id")).select("user_id", "event_id")
 
 
 @query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""")

@@ -85,14 +85,14 @@ def test_upserts_over_skipped_batches(spark, tmp_path):
     from landgraph.streaming import feeds
 
     path = f"file://{tmp_path}/table"
-    assert feeds.read_latest(spark, path, "k int, t int").count() == 0
+    assert feeds.read_latest(spark, path, "k int, t int", "k", F.desc("t")).count() == 0
     each = feeds.upsert_latest(path, "k", F.desc("t"), shares=4)
     rows = lambda *r: spark.createDataFrame(r, "k int, t int")
     each(rows((1, 1), (2, 1), (3, 9)), 0)
     each(rows((1, 5)), 2)  # a batch number was left out
     each(rows((2, 0), (4, 4)), 5)
     each(rows((2, 0), (4, 4)), 5)  # and one is repeated
-    assert {(r.k, r.t) for r in feeds.read_latest(spark, path, "k int, t int").select("k", "t").collect()} == {(1, 5), (2, 1), (3, 9), (4, 4)}
+    assert {(r.k, r.t) for r in feeds.read_latest(spark, path, "k int, t int", "k", F.desc("t")).select("k", "t").collect()} == {(1, 5), (2, 1), (3, 9), (4, 4)}
 
 
 def test_export_positions_restart_in_each_file(spark, tmp_path):
@@ -103,3 +103,28 @@ def test_export_positions_restart_in_each_file(spark, tmp_path):
         (tmp_path / name / "export.json").write_text("[" + ",".join(f'{{"x": "{name}{i}"}}' for i in range(n)) + "]")
     got = {(r.folder[-1], r.position, r.x, r.y) for r in export_records(spark, f"file://{tmp_path}", "x string, y string").collect()}
     assert got == {("a", i, f"a{i}", "") for i in range(3)} | {("b", i, f"b{i}", "") for i in range(2)}
+
+
+def test_upserts_write_by_the_batch(spark, tmp_path):
+    """What a batch writes grows with the batch; shares are written anew when their deltas have grown."""
+    from landgraph.streaming import feeds
+
+    path = f"file://{tmp_path}/table"
+    each = feeds.upsert_latest(path, "k", F.desc("t"), shares=4, compact_at=0.5)
+    written = lambda n: sum(1 for f in tmp_path.glob(f"table/base={n}/share=*"))
+    rows = lambda keys, t: spark.createDataFrame([(k, t) for k in keys], "k int, t int")
+    each(rows(range(400), 0), 0)
+    assert written(0) == 4
+    want = dict.fromkeys(range(400), 0)
+    for n in range(1, 8):
+        each(rows(range(n, n + 40), n), n)  # a tenth of the table in each
+        want |= dict.fromkeys(range(n, n + 40), n)
+        got = feeds.read_latest(spark, path, "k int, t int", "k", F.desc("t"))
+        assert {r.k: r.t for r in got.collect()} == want and got.count() == len(want)
+    assert written(1) == written(2) == 0 and any(written(n) for n in range(3, 8))
+    each(rows([], 8), 8)
+    each(rows([1], 9), 9)
+    each(rows([1], 9), 9)
+    want[1] = 9
+    assert {r.k: r.t for r in feeds.read_latest(spark, path, "k int, t int", "k", F.desc("t")).collect()} == want
+    assert len(list(tmp_path.glob("table_index/*"))) == 2

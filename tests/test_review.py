@@ -185,3 +185,30 @@ def test_company_words_and_long_chargees(spark):
     name = "n" * 12_000
     df = spark.createDataFrame([(["cash: $5", "", f"chargee: {name}", "principal: $7"],)], "lines array<string>")
     assert df.select(consideration(F.col("lines"))["charges"][0]["chargee"].alias("c")).first().c == name
+
+
+def test_elements_by_structure():
+    from landgraph.functions.dom import Elements
+
+    e = Elements("<div id=\"a\"><b>One</b> two</div><div id='b'>x<br>y<hr id=v>z</div><p id=c>open<p id=d>&lt;next&#62;</div><i id=''>n</i></p><ul id='e'><li>1<li>2</ul>after<div id=a>again</div><style>s</style>")
+    assert [e.text(i) for i in "abvcdeq"] == ["Onetwo", "xyz", "", "open<next>n12afteragain", "<next>n", "12", ""]
+    assert Elements("").spans == {}
+
+
+def test_elements_of_pages(spark):
+    from landgraph.functions.dom import element_texts
+
+    df = spark.createDataFrame([(1, "<p id=x>a</p>"), (2, None), (3, ""), (4, "<i id=r></i>")], "k int, h string")
+    got = {r.k: r.texts for r in element_texts(df, "k", "h", ["x"], required="r").collect()}
+    assert got == {1: None, 2: None, 3: None, 4: {"x": ""}}
+    assert {r.k: r.texts for r in element_texts(df, "k", "h", ["x"]).collect()}[1] == {"x": "a"}
+
+
+def test_results_rows(spark):
+    from landgraph.functions.html import results_rows
+
+    td = '</td><td class="content">'
+    page = f'<tr><td class="content">x{td}y</td></tr><tr><td class="content"><a class="propAddr">1 A</a>1 Jan 2020: late<br>2 Feb 2021<br>3 Mar 2022: z{td}S<font color="#cccccc">to</font>B1<br/>B2{td}<b>$5</b></td></tr>'
+    rows = spark.createDataFrame([(page,), (None,), ("",)], "h string").select(results_rows(F.col("h")).alias("r")).collect()
+    assert [r.asDict() for r in rows[0].r] == [{"position": 1, "address_lines": ["1 A"], "city_region": "1 Jan 2020: late", "date_text": "2 Feb 2021", "note": "", "description": "", "seller_lines": ["S"], "buyer_lines": ["B1", "B2"], "price_text": "$5"}]
+    assert rows[1].r is None and rows[2].r == []
