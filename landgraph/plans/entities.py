@@ -177,7 +177,7 @@ def c8_h60_point_in_polygon(spark, d):
     ax, ay = F.col("p_size").cast("double"), (F.col("p_partkey") % 16).cast("double")
     ring = F.array(F.array(ax, ay), F.array(ax + 4, ay), F.array(ax, ay + 2))
     parcels = table(spark, d, "part").select("p_partkey", ring.alias("ring"))
-    return spatial.point_in_parcel(p, parcels, "event_id", "p_partkey", 2.0)
+    return spatial.point_in_parcel(p, parcels, "event_id", "p_partkey", 2.0, levels=2)
 
 
 @query("""WITH p AS (SELECT event_id, value AS x, CAST(user_id AS DOUBLE) / 10 AS y FROM events), q AS (SELECT s_suppkey, s_suppkey * CAST(0.9 AS DOUBLE) AS px, s_nationkey * CAST(0.6 AS DOUBLE) AS py FROM supplier),

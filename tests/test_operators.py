@@ -33,6 +33,45 @@ def test_registry_keeps_ids(spark):
     assert got == {"a": "G001", "z": "G007", "c": "G008", "b": "G009"}
 
 
+def holds(ring, x, y):
+    """Ray casting as functions.values.inside does it."""
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+            odd = not odd
+    return odd
+
+
+def test_points_of_a_dense_cloud_meet_few_rings(spark):
+    """Overlapping rings, equal ones, an L, a ring around all, tiny ones, points on corners and sides; half of the points in one cell."""
+    rng = random.Random(11)
+    rings = [[[-4.0, -4.0], [4.0, -4.0], [4.0, 4.0], [-4.0, 4.0]], [[0.0, 0.0], [2.0, 0.0], [2.0, 1.0], [1.0, 1.0], [1.0, 2.0], [0.0, 2.0], [0.0, 0.0]]]
+    for _ in range(150):
+        x, y, w = rng.uniform(-3, 3), rng.uniform(-3, 3), rng.choice([0.01, 0.3, 2.5])
+        rings.append([[x, y], [x + w * rng.random(), y - w], [x + w, y + w * rng.random()], [x - w / 3, y + w]])
+    rings += rings[5:60]
+    order = list(range(len(rings)))
+    rng.shuffle(order)
+    parcels = [(n + 1, r) for n, r in zip(order, rings, strict=True)]
+    points = [(i, rng.uniform(-5, 5), rng.uniform(-5, 5)) for i in range(300)] + [(300 + i, rng.uniform(0.4, 0.45), rng.uniform(0.4, 0.45)) for i in range(300)]
+    points += [(600 + i, *p) for i, p in enumerate(p for r in rings[:40] for p in r)] + [(1000, 1.0, 0.5), (1001, 0.5, 1.0), (1002, None, 1.0), (1003, float("nan"), 1.0)]
+    want = {}
+    for i, x, y in points:
+        hits = [n for n, r in parcels if x is not None and holds(r, x, y)]
+        if hits:
+            want[i] = min(hits)
+    p = spark.createDataFrame(points, "p int, x double, y double")
+    b = spark.createDataFrame([*parcels, (0, None), (-1, [])], "b int, ring array<array<double>>")
+    for size, levels in ((0.5, 4), (3.0, 0), (0.11, 2)):
+        assert {r.p: r.b for r in spatial.point_in_parcel(p, b, "p", "b", size, levels).collect()} == want
+    met = spatial.ring_candidates(p, b, "b", 0.5, 4)
+    tests = p.join(met, (F.floor(p.x / 0.03125) == met.cx) & (F.floor(p.y / 0.03125) == met.cy)).filter("ring is not null").count()
+    assert tests < 4 * len(points)  # over 10 rings hold a point of the cloud
+    plan = spatial.point_in_parcel(p, b, "p", "b", 0.5, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert spatial.point_in_parcel(p, b.limit(0), "p", "b").count() == 0 == spatial.point_in_parcel(p.limit(0), b, "p", "b").count()
+
+
 def test_grid_join_equals_brute_force(spark):
     rng = random.Random(2)
     points = [(i, rng.uniform(-3, 3), rng.uniform(-3, 3)) for i in range(200)]
