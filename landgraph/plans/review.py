@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landgraph.operators import lineage, quality
+from landgraph.operators import lineage, quality, validation
 from landgraph.plans.naming import book
 from landgraph.session import table
 
@@ -118,3 +118,25 @@ def j5_traced_origin(spark, d):
     assembled = c.select("c_custkey", F.lit("assembled"), _stage(detail))
     steps = spark.createDataFrame(LINEAGE, "field string, step int, stage string, stage_field string")
     return lineage.trace_origin(issues, steps, addresses.union(classified).union(assembled)).withColumnRenamed("id", "c_custkey")
+
+
+@query("""WITH r AS (SELECT CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN '' ELSE o_custkey || strftime(o_orderdate, ' %Y-%m') END AS source_id, CASE WHEN o_orderstatus = 'F' THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS resolved FROM orders),
+t AS (SELECT (SELECT count(*) FROM r) AS n, (SELECT count(*) FROM r WHERE source_id = '') AS missing, (SELECT count(*) - count(DISTINCT source_id) FROM r WHERE source_id <> '') AS repeated, (SELECT count(*) FROM r WHERE resolved <> '') AS resolved,
+  (SELECT count(*) FROM r WHERE resolved IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 0)) AS cached, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_quantity > 40) AS built, (SELECT count(*) FROM supplier) AS gw, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS parcels)
+SELECT "check", level, n, "of", CASE WHEN "of" > 0 THEN n * CAST(100 AS DOUBLE) / "of" END AS percent, flagged FROM (
+SELECT 'no_records' AS "check", 'issue' AS level, n, NULL AS "of", n = 0 AS flagged FROM t
+UNION ALL SELECT 'missing_source_id', 'issue', missing, n, missing > 0 FROM t UNION ALL SELECT 'repeated_source_id', 'issue', repeated, n, repeated > 0 FROM t
+UNION ALL SELECT 'resolved', 'info', resolved, n, false FROM t UNION ALL SELECT 'resolved_in_cache', 'info', cached, resolved, false FROM t UNION ALL SELECT 'resolved_not_in_cache', 'warning', resolved - cached, resolved, resolved > cached FROM t
+UNION ALL SELECT 'drift', 'warning', abs(n - built), built, abs(n - built) * 100.0 / built > 10 FROM t
+UNION ALL SELECT 'count_gw', 'warning', gw, NULL, gw = 0 FROM t UNION ALL SELECT 'count_osm', 'warning', (SELECT count(*) FROM part WHERE p_size > 1000), NULL, (SELECT count(*) FROM part WHERE p_size > 1000) = 0 FROM t
+UNION ALL SELECT 'count_parcels', 'info', parcels, NULL, false FROM t
+UNION ALL SELECT 'passed', 'issue', CAST(n = 0 AS BIGINT) + CAST(missing > 0 AS BIGINT) + CAST(repeated > 0 AS BIGINT), NULL, n = 0 OR missing > 0 OR repeated > 0 FROM t)""")
+def d24_j7_validation_summary(spark, d):
+    cached = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("number"))
+    late = (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P")
+    source = F.when(late, "").otherwise(F.concat(F.col("o_custkey").cast("string"), F.date_format("o_orderdate", " yyyy-MM")))
+    resolved = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_custkey").cast("string"))
+    records = table(spark, d, "orders").select(source.alias("source_id"), resolved.alias("resolved"))
+    built = table(spark, d, "lineitem").filter("l_quantity > 40").select("l_orderkey").distinct()
+    others = {"gw": table(spark, d, "supplier"), "osm": table(spark, d, "part").filter("p_size > 1000"), "parcels": cached}
+    return validation.validation_summary(records, cached, built, others, needed=("gw", "osm"))

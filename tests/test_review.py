@@ -212,3 +212,21 @@ def test_results_rows(spark):
     rows = spark.createDataFrame([(page,), (None,), ("",)], "h string").select(results_rows(F.col("h")).alias("r")).collect()
     assert [r.asDict() for r in rows[0].r] == [{"position": 1, "address_lines": ["1 A"], "city_region": "1 Jan 2020: late", "date_text": "2 Feb 2021", "note": "", "description": "", "seller_lines": ["S"], "buyer_lines": ["B1", "B2"], "price_text": "$5"}]
     assert rows[1].r is None and rows[2].r == []
+
+
+def test_validation_summary_of_small_and_empty_tables(spark):
+    from landgraph.operators.validation import validation_summary
+
+    records = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "2"), ("", None), (None, ""), ("b", "3")], "source_id string, resolved string")
+    cache = spark.createDataFrame([("1",), ("1",), ("9",), (None,)], "number string")
+    built = spark.range(6)
+    rows = {r.check: r for r in validation_summary(records, cache, built, {"osm": spark.range(0), "pois": spark.range(0)}, needed=["osm"]).collect()}
+    assert {c: (r.n, r.of) for c, r in rows.items()} == {
+        "no_records": (6, None), "missing_source_id": (2, 6), "repeated_source_id": (2, 6), "resolved": (4, 6), "resolved_in_cache": (2, 4), "resolved_not_in_cache": (2, 4),
+        "drift": (0, 6), "count_osm": (0, None), "count_pois": (0, None), "passed": (2, None),
+    }
+    assert {c for c, r in rows.items() if r.flagged} == {"missing_source_id", "repeated_source_id", "resolved_not_in_cache", "count_osm", "passed"}
+    at = lambda n: {r.check: r.flagged for r in validation_summary(records, cache, spark.range(n), {}).collect()}["drift"]
+    assert (at(0), at(5), at(7), at(100)) == (False, True, True, True)
+    none = {r.check: (r.n, r.flagged) for r in validation_summary(records.limit(0), cache.limit(0), None, {}).collect()}
+    assert none == {"no_records": (0, True), "missing_source_id": (0, False), "repeated_source_id": (0, False), "resolved": (0, False), "resolved_in_cache": (0, False), "resolved_not_in_cache": (0, False), "passed": (1, True)}
