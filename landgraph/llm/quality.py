@@ -6,8 +6,9 @@ its labelled examples over-represent. Grouped aggregation over hosts and paths o
 the documents' probabilities into posteriors of each site: a host's rate is shrunk toward the
 global rate, a path's toward its host's, by Beta priors whose strength is estimated from the
 variance between sites (method of moments), so sparse sites stay near the prior and large
-ones speak for themselves. A document's posterior odds are its evidence times its path's odds,
-where the path's rate leaves the document itself out, so its evidence counts once.
+ones speak for themselves. A document's posterior odds are its evidence times its path's odds.
+The path's rate, the host's that it is shrunk toward, and the global rate behind that all leave
+the document itself out, so its evidence counts once, also where a site has few documents.
 
 Both classifiers are fitted on at most `max_labels` labelled documents, picked by a hash of
 their id, whatever the corpus' size; site counts cover all documents.
@@ -251,19 +252,24 @@ def classify(
 def posteriors(rows: DataFrame, rate: float, scratch: Scratch) -> DataFrame:
     """Rows (id, host, path, evidence, toxic_logit) with quality, toxic, host_rate and path_rate; `rate` is the share of good labels.
 
-    A document's path_rate is its path's without the document itself.
+    A document's host_rate and path_rate are those of its host and path without the document itself:
+    it is taken out of the sums of all three levels. The priors' strengths, one number a level, are estimated
+    from all sites. The only document of all has `rate` as its global rate.
     """
     p = 1 / (1 + F.exp(-F.col("evidence")))
     paths = scratch.save(rows.groupBy("host", "path").agg(F.sum(p).alias("good"), F.count(F.lit(1)).alias("n")), "paths")
     total = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     overall = (total.good / total.n) if total.n else rate
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).withColumn("overall", F.lit(float(overall)))
-    hosts = shrunk(hosts, "overall", 1e6).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"))
+    hosts = shrunk(hosts, "overall", 1e6)
+    hosts = hosts.select(F.col("host").alias("__host"), F.col("rate").alias("host_mean"), F.struct("good", "n", "k").alias("h"))
     paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("__host"))).drop("__host")
-    paths = shrunk(paths, "host_rate", 1e6).select(F.col("host").alias("__host"), F.col("path").alias("__path"), "host_rate", "good", "n", "k")
+    paths = shrunk(paths, "host_mean", 1e6).select(F.col("host").alias("__host"), F.col("path").alias("__path"), "h", F.struct("good", "n", "k").alias("s"))
     paths = scratch.save(paths, "rates")
     out = rows.join(paths, F.col("host").eqNullSafe(F.col("__host")) & F.col("path").eqNullSafe(F.col("__path")))
-    others = (F.col("k") * F.col("host_rate") + F.greatest(F.col("good") - p, F.lit(0.0))) / (F.col("k") + F.col("n") - 1)
-    out = out.withColumn("path_rate", F.least(F.greatest(others, F.lit(1e-9)), F.lit(1 - 1e-9)))
+    without = lambda s, prior: (F.col(f"{s}.k") * prior + F.greatest(F.col(f"{s}.good") - p, F.lit(0.0))) / (F.col(f"{s}.k") + F.col(f"{s}.n") - 1)
+    others = F.greatest(F.lit(float(total.good or 0.0)) - p, F.lit(0.0)) / F.lit(float(total.n - 1)) if (total.n or 0) > 1 else F.lit(float(rate))
+    out = out.withColumn("host_rate", without("h", others))
+    out = out.withColumn("path_rate", F.least(F.greatest(without("s", F.col("host_rate")), F.lit(1e-9)), F.lit(1 - 1e-9))).drop("h", "s")
     odds = F.col("evidence") - F.lit(float(np.log(rate / (1 - rate)))) + F.log(F.col("path_rate") / (1 - F.col("path_rate")))
     return out.withColumns({"quality": 1 / (1 + F.exp(-odds)), "toxic": 1 / (1 + F.exp(-F.col("toxic_logit")))})

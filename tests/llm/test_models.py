@@ -179,17 +179,35 @@ def test_posteriors_equal_a_plain_version(spark):
             v[0] += p[i]
             v[1] += 1
     overall = sum(p.values()) / len(rows)
-    k = shrink(hosts, lambda s: overall)
-    rate = {h: (k * overall + g) / (k + n) for h, (g, n) in hosts.items()}
+    host_k = shrink(hosts, lambda s: overall)
+    rate = {h: (host_k * overall + g) / (host_k + n) for h, (g, n) in hosts.items()}
     k = shrink(paths, lambda s: rate[s[0]])
     for i, h, q, e, t in rows:
-        g, n = paths[h, q]
-        own = (k * rate[h] + g - p[i]) / (k + n - 1)
+        (g, n), (hg, hn) = paths[h, q], hosts[h]
+        others = (sum(p.values()) - p[i]) / (len(rows) - 1)
+        host = (host_k * others + hg - p[i]) / (host_k + hn - 1)
+        own = (k * host + g - p[i]) / (k + n - 1)
         odds = e - math.log(0.7 / 0.3) + math.log(own / (1 - own))
-        want = (1 / (1 + math.exp(-odds)), 1 / (1 + math.exp(-t)), rate[h], own)
+        want = (1 / (1 + math.exp(-odds)), 1 / (1 + math.exp(-t)), host, own)
         assert all(abs(x - y) < 1e-9 for x, y in zip(got[i], want, strict=True))
 
 
+def test_own_evidence_counts_once(spark):
+    """A site of one document has the rate of the others, whatever its own evidence; one document of all has the labels' rate."""
+    from landgraph.llm.quality import posteriors
+
+    rng = random.Random(8)
+    schema = "id long, host string, path string, evidence double, toxic_logit double"
+    crowd = [(i, f"h{i % 5}", "x", rng.gauss(1 if i % 5 else -2, 1), -3.0) for i in range(200)]
+    for own in (-6.0, 6.0):
+        out = posteriors(spark.createDataFrame([*crowd, (900, "lone", "z", own, -3.0)], schema), 0.5, Scratch(spark, "p"))
+        r = out.filter("id = 900").first()
+        mean = sum(1 / (1 + math.exp(-c[3])) for c in crowd) / 200
+        assert abs(r.host_rate - mean) < 1e-9 and abs(r.path_rate - mean) < 1e-9
+    r = posteriors(spark.createDataFrame([(1, "h", "x", 3.0, -3.0)], schema), 0.7, Scratch(spark, "p")).first()
+    assert abs(r.path_rate - 0.7) < 1e-9
+
+
 def test_sparse_sites_shrink(spark):
     from landgraph.llm.quality import shrunk
 
