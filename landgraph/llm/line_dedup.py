@@ -4,7 +4,8 @@ A first pass hashes every line's key and sends, for each Arrow batch and hash se
 batch's distinct hashes to the segment's task, which keeps two Bloom filters: keys seen once
 and keys seen twice. A second pass probes the twice-seen filters, broadcast in slabs of a
 bounded size, and only suspected repeats (128-bit keys) shuffle for exact counts and for the
-choice of the occurrence that stays.
+choice of the occurrence that stays. The number of segments grows with the texts, so that one
+segment's filters stay below a slab however many lines there are.
 
 Null or empty texts are one empty line. Each row counts as a document; rows that share the
 largest id of a key all keep its line. A null id keeps a line only where every holder's id is
@@ -27,6 +28,8 @@ from landgraph.llm.hashing import LOWER, SPACE, Words, mix, word_slices
 
 PROBES = 5
 BITS_A_KEY = 12
+# At most half of a segment's keys are met twice, and layers double: 2^24 keys make twice-seen filters of at most 24 MB.
+SEGMENT_KEYS = 1 << 24
 
 
 class Bloom:
@@ -198,9 +201,15 @@ def _drop(min_chars: int, names: list[str]):
     return run
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, min_chars: int, min_docs: int, slab_bytes: int) -> DataFrame:
+def segments_for(docs: DataFrame, text_col: str, min_chars: int, segment_keys: int) -> int:
+    """Segments such that each has at most `segment_keys` keys in the mean: a key takes min_chars bytes and a break, or ends its text."""
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("n")).first().n or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // (max(0, min_chars) + 1) // segment_keys))
+
+
+def repeated_lines(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, min_chars: int, min_docs: int, slab_bytes: int, segment_keys: int = SEGMENT_KEYS) -> DataFrame:
     """Rows (id, h1, h2): keys that a document must drop."""
-    spark, segments = docs.sparkSession, shuffle_partitions(docs.sparkSession)
+    spark, segments = docs.sparkSession, segments_for(docs, text_col, min_chars, segment_keys)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(texts.dtypes)["id"]
     sent = texts.mapInArrow(_send(segments, min_chars), "segment int, once binary, more binary")
@@ -224,11 +233,11 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col:
 
 
 def dedup_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, slab_bytes: int = 32 << 20
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, slab_bytes: int = 32 << 20, segment_keys: int = SEGMENT_KEYS
 ) -> DataFrame:
     """The documents with `text` after dropping repeated lines, and n_lines, n_dropped (replacing columns so named)."""
     scratch = Scratch(docs.sparkSession, "lines")
-    drops = repeated_lines(docs, scratch, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs, slab_bytes=slab_bytes)
+    drops = repeated_lines(docs, scratch, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs, slab_bytes=slab_bytes, segment_keys=segment_keys)
     drops = drops.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("__drop")).withColumnRenamed("id", "__id")
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     whole = docs.join(drops, docs[id_col].eqNullSafe(drops["__id"]), "left").select(text_col, "__drop", *rest)

@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from landgraph.llm.line_dedup import Bloom, dedup_lines
+from landgraph.llm.line_dedup import Bloom, dedup_lines, segments_for
 import numpy as np
 
 SPACES = "\t\n\x0b\x0c\r "
@@ -39,6 +39,17 @@ def test_equals_the_plain_version(spark):
         assert got == plain(docs)
 
 
+def test_segments_grow_with_the_texts(spark):
+    docs = texts()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    size = sum(len((t or "").encode()) + 1 for _, t in docs)
+    assert segments_for(df, "text", 20, 1 << 24) == 4 == segments_for(df.limit(0), "text", 20, 100)
+    n = segments_for(df, "text", 20, 100)
+    assert n == -(-size // 21 // 100) > 50
+    got = {r.doc_id: (r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in dedup_lines(df, segment_keys=100).collect()}
+    assert got == plain(docs)
+
+
 def test_edges(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert dedup_lines(df).count() == 0
