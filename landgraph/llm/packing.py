@@ -3,16 +3,19 @@
 Documents are tokenised once into pieces of at most `capacity` tokens; a document that is
 longer is cut so that all pieces but the first are full. Full pieces are sequences of their
 own. The others are dealt evenly by hash into shards of a bounded size, and on each shard
-several islands evolve packings: a chromosome is a list of bins; crossover injects the best
-filled bins of one parent into the other, drops the duplicates' bins, and puts the displaced
-pieces back by best fit. Between epochs each island's elite migrates to the next island of
-its shard. After the last epoch each shard keeps its best packing, the pieces of badly filled
+several islands evolve packings: a chromosome is a list of bins, and the first ones are best fit
+in random orders that lean toward long pieces first. Crossover injects well-filled bins of one
+parent whole into the other, drops the duplicates with their bins and the worst bins that are
+left, and puts the displaced pieces back by best fit. Between epochs each island's elite migrates
+to the next island of its shard. After the last epoch each shard keeps its best packing, the pieces of badly filled
 bins are dealt anew and packed together, so shards leave hardly any bin half empty.
 Evolution stops at the lower bound ceil(tokens / capacity), which cannot be beaten.
 
 Null texts are empty; every document has at least the final token, so each row has a piece.
-Rows that share an id are packed as documents of their own. Columns other than id and text
-are not carried.
+Rows that share an id are packed as documents of their own, a null id's like any other. Texts
+are tokenised whole, however long: a task holds one text's ids at a time beside its batch. An
+empty table has no pieces. Columns other than id and text are not carried, so their names
+(piece, length, key and the like) cannot clash.
 """
 
 from __future__ import annotations
@@ -93,7 +96,11 @@ class Bins:
             self.free |= 1 << left
 
     def best_fit(self, items: list[int]) -> None:
-        for i in sorted(items, key=lambda i: -self.lengths[i]):
+        self.place(sorted(items, key=lambda i: -self.lengths[i]))
+
+    def place(self, items: list[int]) -> None:
+        """Best fit in the order given."""
+        for i in items:
             need = self.lengths[i]
             fits = self.free >> need
             if not fits:
@@ -112,23 +119,37 @@ def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> float:
     return sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
-def crossover(giver: list[list[int]], taker: list[list[int]], lengths: list[int], capacity: int, share: float) -> list[list[int]]:
-    """The giver's best filled bins whole; the taker's bins without their pieces; displaced pieces by best fit."""
-    ranked = sorted(giver, key=lambda b: -sum(lengths[i] for i in b))
-    injected = ranked[: max(1, int(len(ranked) * share))]
+def worth(b: list[int], lengths: list[int], capacity: int) -> tuple:
+    """Order of bins, best first: filled to 99 % with few pieces, as small pieces are of more use elsewhere; then by fill."""
+    fill = sum(lengths[i] for i in b)
+    return fill * 100 < 99 * capacity, len(b), -fill
+
+
+def crossover(giver: list[list[int]], taker: list[list[int]], lengths: list[int], capacity: int, share: float, loosen: float = 0.5) -> list[list[int]]:
+    """The giver's best bins whole; of the taker's bins without their pieces the better ones; displaced pieces by best fit.
+
+    `share` of the giver's bins are injected, `loosen` of the taker's untouched bins are dissolved.
+    """
+    rank = lambda b: worth(b, lengths, capacity)
+    injected = sorted(giver, key=rank)[: max(1, int(len(giver) * share))]
     used = {i for b in injected for i in b}
-    child, loose = Bins(lengths, capacity), []
-    for b in injected:
+    apart = sorted((b for b in taker if used.isdisjoint(b)), key=rank)
+    kept = apart[: len(apart) - int(len(apart) * loosen)]
+    child = Bins(lengths, capacity)
+    for b in [*injected, *kept]:
         child.open(list(b))
-    for b in taker:
-        if used.isdisjoint(b):
-            child.open(list(b))
-        else:
-            loose += [i for i in b if i not in used]
-    child.best_fit(loose)
+    used.update(i for b in kept for i in b)
+    child.best_fit([i for b in taker for i in b if i not in used])
     return child.bins
 
 
+def randomised(lengths: list[int], capacity: int, rng: np.random.Generator, spread: float = 0.9) -> list[list[int]]:
+    """Best fit by length times a random factor of 1 - spread to 1 + spread."""
+    start = Bins(lengths, capacity)
+    start.place(np.argsort(-np.array(lengths) * rng.uniform(1 - spread, 1 + spread, len(lengths)), kind="stable").tolist())
+    return start.bins
+
+
 def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
     """Dissolves the worst filled bins and a few others, and packs their pieces anew."""
     ranked = sorted(bins, key=lambda b: -sum(lengths[i] for i in b))
@@ -145,22 +166,20 @@ def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: np.ran
 def evolve(lengths: list[int], capacity: int, seed: int, population: int, generations: int, immigrants: list[list[list[int]]] = ()) -> list[list[int]]:
     bound = -(-sum(lengths) // capacity)
     rng = np.random.default_rng(seed)
-    start = Bins(lengths, capacity)
-    start.best_fit(list(range(len(lengths))))
-    pool = [start.bins, *immigrants]
-    if min(map(len, pool)) <= bound:
-        return min(pool, key=len)
-    pool += [mutate(start.bins, lengths, capacity, rng) for _ in range(population - len(pool))]
     rate = lambda x: (-len(x), fitness(x, lengths, capacity))
+    pool = list(immigrants)
+    if pool and min(map(len, pool)) <= bound:
+        return min(pool, key=len)
+    pool += [randomised(lengths, capacity, rng) for _ in range(max(2, population) - len(pool))]
     pool.sort(key=rate, reverse=True)
     for _ in range(generations):
-        a, b = sorted(rng.choice(len(pool), 2, replace=False))
-        child = crossover(pool[a], pool[b], lengths, capacity, 0.3 + 0.4 * rng.random())
-        if rng.random() < 0.5:
-            child = mutate(child, lengths, capacity, rng)
-        pool = sorted([*pool, child], key=rate, reverse=True)[:population]
         if len(pool[0]) <= bound:
             break
+        a, b = rng.choice(len(pool), 2, replace=False)
+        child = crossover(pool[a], pool[b], lengths, capacity, 0.1 + 0.4 * rng.random())
+        if rng.random() < 0.25:
+            child = mutate(child, lengths, capacity, rng)
+        pool = sorted([*pool, child], key=rate, reverse=True)[: max(2, population)]
     return pool[0]
 
 
@@ -191,7 +210,7 @@ PACKED = "shard int, island int, key long, length long, elite int, n_bins int"
 
 
 def pack(
-    pieces: DataFrame, scratch: Scratch, *, capacity: int = 2048, shard_items: int = 20_000, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 6, finish_below: float = 0.98
+    pieces: DataFrame, scratch: Scratch, *, capacity: int = 2048, shard_items: int = 20_000, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 24, finish_below: float = 0.98
 ) -> DataFrame:
     """Places rows (key long unique, length long) of at most `capacity` into sequences: (key, sequence_id, offset)."""
     n = pieces.filter(F.col("length") < capacity).count()
