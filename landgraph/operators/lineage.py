@@ -112,3 +112,30 @@ def trace_origin(issues: DataFrame, lineage: DataFrame, stages: DataFrame, *, la
     stage = F.when(none, "unknown").when(stopped, F.coalesce("end.before_stage", F.lit(last))).otherwise(F.coalesce("first.stage", F.lit(last)))
     field = F.when(none, F.col("field_path")).when(stopped, F.coalesce("end.before_field", "field_path")).otherwise(F.coalesce("first.stage_field", "field_path"))
     return out.select(*key, stage.alias("introduced_at"), field.alias("origin_field"), F.col("end.source_field").alias("source_field"))
+
+
+def stage_trace(stages: DataFrame, fields: tuple[tuple[str, str, str], ...], order: tuple[str, ...]) -> DataFrame:
+    """Each record's fields over the stages it went through: rows (id, field, trace, first_value, last_value, changed_at, lost_at, held).
+
+    stages: (id, stage, record as JSON), one record a stage; fields: (field, stage, JSON path); order: the stages from the
+    first on. trace lists (stage, value) of the stages that hold a value; held is their number. changed_at is the first of
+    them whose value is not that of the one before, lost_at the first stage of `order` after a holding one that lacks the
+    value, be it that its record lacks the path, that it has no path for the field, or that the record is not there. A field
+    that no stage of a record holds has no row. One grouping by (id, field), of as many values as there are stages.
+    """
+    spark = stages.sparkSession
+    places = spark.createDataFrame([(f, s, order.index(s), p) for f, s, p in fields], "field string, stage string, step int, path string")
+    rows = stages.join(F.broadcast(places), "stage")  # the paths given, a parameter
+    values = rows.select("id", "field", "step", "stage", F.expr("get_json_object(record, path)").alias("value")).filter("value is not null")
+    trace = F.array_sort(F.collect_list(F.struct("step", "stage", "value")))
+    rows = values.groupBy("id", "field").agg(trace.alias("t"))
+    t = F.col("t")
+    after = F.zip_with(F.slice(t, F.lit(2), F.size(t) - 1), F.slice(t, F.lit(1), F.size(t) - 1), lambda b, a: F.when(b["value"] != a["value"], b["stage"]))
+    steps = F.transform(t, lambda x: x["step"])
+    missing = F.filter(F.sequence(F.array_min(steps), F.lit(len(order) - 1)), lambda i: ~F.array_contains(steps, i))
+    names = F.array(*map(F.lit, order))
+    return rows.select(
+        "id", "field", F.transform(t, lambda x: F.struct(x["stage"].alias("stage"), x["value"].alias("value"))).alias("trace"),
+        F.try_element_at(t, F.lit(1))["value"].alias("first_value"), F.try_element_at(t, F.lit(-1))["value"].alias("last_value"),
+        F.try_element_at(F.filter(after, lambda s: s.isNotNull()), F.lit(1)).alias("changed_at"), F.get(names, F.array_min(missing)).alias("lost_at"), F.size(t).alias("held"),
+    )
