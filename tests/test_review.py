@@ -230,3 +230,31 @@ def test_validation_summary_of_small_and_empty_tables(spark):
     assert (at(0), at(5), at(7), at(100)) == (False, True, True, True)
     none = {r.check: (r.n, r.flagged) for r in validation_summary(records.limit(0), cache.limit(0), None, {}).collect()}
     assert none == {"no_records": (0, True), "missing_source_id": (0, False), "repeated_source_id": (0, False), "resolved": (0, False), "resolved_in_cache": (0, False), "resolved_not_in_cache": (0, False), "passed": (1, True)}
+
+
+def test_fields_are_traced_over_stages_with_holes(spark):
+    from landgraph.operators.lineage import stage_trace
+
+    fields = (("a", "raw", "$.x"), ("a", "mid", "$.y.z"), ("a", "end", "$.x"), ("b", "raw", "$.b"), ("b", "end", "$.b"))
+    rows = [
+        (1, "raw", '{"x":"1","b":"q"}'), (1, "mid", '{"y":{"z":"1"}}'), (1, "end", '{"x":"2","b":"q"}'),
+        (2, "raw", '{"x":"1"}'), (2, "end", '{"x":"1"}'),  # no middle record
+        (3, "mid", '{"y":{"z":"5"}}'), (3, "end", "{}"),  # comes in late and is lost
+        (4, "raw", "no json"), (5, "raw", None), (None, "end", '{"x":"7"}'), (6, "other", '{"x":"7"}'),
+    ]
+    stages = spark.createDataFrame(rows, "id long, stage string, record string")
+    got = {(r.id, r.field): (r.first_value, r.last_value, r.changed_at, r.lost_at, r.held, len(r.trace)) for r in stage_trace(stages, fields, ("raw", "mid", "end")).collect()}
+    assert got == {
+        (1, "a"): ("1", "2", "end", None, 3, 3), (1, "b"): ("q", "q", None, "mid", 2, 2), (2, "a"): ("1", "1", None, "mid", 2, 2),
+        (3, "a"): ("5", "5", None, "end", 1, 1), (None, "a"): ("7", "7", None, None, 1, 1),
+    }
+    assert stage_trace(stages.limit(0), fields, ("raw", "mid", "end")).count() == 0
+
+
+def test_a_chargee_of_any_length_stays_whole(spark):
+    from landgraph.functions.record import consideration
+
+    name = "Bank " + "x" * 12_000
+    lines = F.array(F.lit("cash: $1"), F.lit(""), F.lit("chargee: " + name), F.lit("principal: $7"))
+    row = spark.range(1).select(consideration(lines).alias("c")).first().c
+    assert [(c.chargee, c.principal) for c in row.charges] == [(name, 7)] and row.cash == 1
