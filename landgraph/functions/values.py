@@ -73,10 +73,17 @@ def centroid(ring: Column) -> Column:
 
 
 def footprint_sqft(ring: Column) -> Column:
-    """Shoelace area of a ring of [lng, lat], whole square feet, null for none."""
+    """Shoelace area of a ring of [lng, lat], whole square feet, null for none.
+
+    The products are summed exactly, over vertices to twelve decimals of a degree: in doubles they lose the digits
+    that make up a small ring far from the origin, and with them whole feet of it. Null too where a coordinate is no
+    number or has more than four places before the point.
+    """
     lat0 = F.radians(centroid(ring)["lat"])
-    cross = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1)), lambda p, q: p[0] * q[1] - q[0] * p[1])
-    area = F.abs(F.aggregate(cross, F.lit(0.0), lambda s, x: s + x)) / 2 * METRES_PER_DEGREE * METRES_PER_DEGREE * F.cos(lat0) * SQFT_PER_SQM
+    exact = lambda v: v.try_cast("decimal(16,12)")
+    cross = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1)), lambda p, q: exact(p[0]) * exact(q[1]) - exact(q[0]) * exact(p[1]))
+    twice = F.aggregate(cross, F.lit(0).cast("decimal(36,24)"), lambda s, x: (s + x).cast("decimal(36,24)"))
+    area = F.abs(twice).cast("double") / 2 * (METRES_PER_DEGREE * METRES_PER_DEGREE) * F.cos(lat0) * SQFT_PER_SQM
     return F.nullif(F.floor(area).cast("bigint"), F.lit(0))
 
 

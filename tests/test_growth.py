@@ -11,3 +11,15 @@ def optimized(df) -> str:
 
 def test_stage_trace_builds_each_record_once(spark):
     assert optimized(registry.QUERIES["m1_stage_trace"](spark, SF)).count("StructsToJsonEvaluator") == 3
+
+
+def test_areas_are_those_of_sql_for_far_and_long_rings(spark, tmp_path):
+    import duckdb
+
+    name = "h59_h61_centroid_and_area"
+    spark.range(60_000).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE supplier AS SELECT range AS s_suppkey FROM range(60000)")
+    want = dict(con.execute(f"SELECT s_suppkey, ksqft FROM ({registry.SQL[name]})").fetchall())
+    got = {r.s_suppkey: r.ksqft for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
