@@ -38,9 +38,9 @@ def point_lookup(points: DataFrame, parcels: DataFrame, point_id: str, widths: t
     cell = lambda w: max(4 * w, 0.002)
     held = grid_join(points, boxes, cell(narrow), V.inside(F.col("ring"), F.col("y"), F.col("x")))
     held = held.groupBy(point_id).agg(F.min("number").alias("number"))
-    left = points.join(held, point_id, "left_anti")
+    left = points.join(held.hint("merge"), point_id, "left_anti")
     close = grid_join(left, around(narrow), cell(narrow)).select(point_id).distinct()
-    left = left.join(close, point_id, "left_semi")
+    left = left.join(close.hint("merge"), point_id, "left_semi")
     middle = V.centroid(F.col("ring"))
     away = F.pow(middle["lng"] - F.col("x"), 2) + F.pow(middle["lat"] - F.col("y"), 2)
     near = grid_join(left, around(wide), cell(wide)).withColumn("away", away).groupBy(point_id).agg(F.min_by("number", F.struct("away", "number")).alias("number"))
@@ -52,15 +52,16 @@ def resolve_records(records: DataFrame, cache: DataFrame, service: DataFrame, br
 
     cache has parcels (number, lat, lng) that are stored already, lat and lng being null where the
     centroid is unknown; service has (number, ring), a null ring being no answer; bridge has rows
-    (pin, number, seq), of which the first valid number of a pin counts.
+    (pin, number, seq), of which the first valid number of a pin counts. All of them grow with
+    the records, so every join shuffles and none is broadcast, whatever size Spark guesses.
     """
     has_number, has_point = F.coalesce(F.col("number") != "", F.lit(False)), F.coalesce(F.col("lat") != 0, F.lit(False))
     rows = records.select("id", "number", "lat", "lng", "pin", has_number.alias("has_number"), has_point.alias("has_point"))
 
     asked = rows.filter("has_number").select("number").distinct()
-    stored = asked.join(cache.select("number", "lat", "lng"), "number").withColumn("cached", F.lit(True))
+    stored = asked.join(cache.select("number", "lat", "lng").hint("merge"), "number").withColumn("cached", F.lit(True))
     middle = V.centroid(F.col("ring"))
-    fresh = asked.join(cache.select("number"), "number", "left_anti").join(service.filter("ring is not null"), "number")
+    fresh = asked.join(cache.select("number").hint("merge"), "number", "left_anti").join(service.filter("ring is not null").hint("merge"), "number")
     fresh = fresh.select("number", middle["lat"].alias("lat"), middle["lng"].alias("lng"), F.lit(False).alias("cached"))
     by_number = stored.unionByName(fresh).select("number", F.col("number").alias("number_hit"), F.col("lat").alias("hit_lat"), F.col("lng").alias("hit_lng"), "cached")
 
@@ -68,14 +69,14 @@ def resolve_records(records: DataFrame, cache: DataFrame, service: DataFrame, br
     # a parcel whose number is all zeros hides no other one: it is found, and it counts as no answer
     by_point = point_lookup(points, service, "id").filter(present(F.col("number"))).select("id", F.col("number").alias("point_hit"))
 
-    met = rows.join(by_number, "number", "left").join(by_point, "id", "left")
+    met = rows.join(by_number.hint("merge"), "number", "left").join(by_point.hint("merge"), "id", "left")
     metres = V.haversine(F.col("lat"), F.col("lng"), F.col("hit_lat"), F.col("hit_lng"))
     judged = met.withColumn("r", resolution(F.col("has_number"), F.col("has_point"), F.col("number_hit"), F.col("point_hit"), metres, F.col("cached"), limit))
     judged = judged.select("id", "number", "pin", "r.*")
 
     orphan = F.col("resolved").isNull() & ~present(F.col("number")) & F.coalesce(F.trim("pin") != "", F.lit(False))
     known = bridge.filter(present(F.col("number")) & (F.trim("pin") != "")).groupBy(F.trim("pin").alias("pin")).agg(F.min_by("number", "seq").alias("bridged"))
-    bridged = judged.filter(orphan).select("id", "method", "resolved", "reason", F.trim("pin").alias("pin")).join(known, "pin", "left")
+    bridged = judged.filter(orphan).select("id", "method", "resolved", "reason", F.trim("pin").alias("pin")).join(known.hint("merge"), "pin", "left")
     found = F.col("bridged").isNotNull()
     bridged = bridged.select("id", F.when(found, "pin_gw").otherwise(F.col("method")).alias("method"), F.coalesce("bridged", "resolved").alias("resolved"), F.when(~found, F.col("reason")).alias("reason"))
     return judged.filter(~orphan).select("id", "method", "resolved", "reason").unionByName(bridged)

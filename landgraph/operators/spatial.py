@@ -12,11 +12,12 @@ def grid_join(points: DataFrame, boxes: DataFrame, size: float, hit: Column | No
     """Points (x, y) with every box (x0, x1, y0, y1) that holds them.
 
     Boxes are listed in each grid cell they touch, so the join has an equality to shuffle on;
-    the exact test (and `hit`, if given) follows.
+    the exact test (and `hit`, if given) follows. Neither side is broadcast: Spark guesses the
+    boxes' size from the table they come from, and rings in all their cells are many times that.
     """
     tiles = boxes.withColumn("__cx", F.explode(cells(F.col("x0"), F.col("x1"), size))).withColumn("__cy", F.explode(cells(F.col("y0"), F.col("y1"), size)))
     spots = points.withColumns({"__cx": F.floor(F.col("x") / size), "__cy": F.floor(F.col("y") / size)})
-    met = spots.join(tiles, ["__cx", "__cy"]).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    met = spots.join(tiles.hint("merge"), ["__cx", "__cy"]).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
     return (met if hit is None else met.filter(hit)).drop("__cx", "__cy")
 
 

@@ -23,3 +23,11 @@ def test_areas_are_those_of_sql_for_far_and_long_rings(spark, tmp_path):
     want = dict(con.execute(f"SELECT s_suppkey, ksqft FROM ({registry.SQL[name]})").fetchall())
     got = {r.s_suppkey: r.ksqft for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
     assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+
+
+def broadcasts(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_point_query_broadcasts_no_lots(spark):
+    assert broadcasts(registry.QUERIES["c9_point_query"](spark, SF)) == 0
