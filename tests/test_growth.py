@@ -31,3 +31,7 @@ def broadcasts(df) -> int:
 
 def test_point_query_broadcasts_no_lots(spark):
     assert broadcasts(registry.QUERIES["c9_point_query"](spark, SF)) == 0
+
+
+def test_resolution_by_tiers_broadcasts_no_table(spark):
+    assert broadcasts(registry.QUERIES["i5_resolution_by_tiers"](spark, SF)) == 0
