@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landgraph.session import table
+from landgraph.session import spread
 
 #: line, label, kind
 LABELS = (
@@ -87,4 +87,4 @@ def dealt(spark, d, name: str, key: str, *columns: list):
     names = [f"c{i}" for i in range(len(columns))]
     rows = list(zip(range(len(columns[0])), *columns, strict=True))
     dim = spark.createDataFrame(rows, ", ".join(["case int", *(f"{n} string" for n in names)]))
-    return table(spark, d, name).select(key, (F.col(key) % len(rows)).cast("int").alias("case")).join(F.broadcast(dim), "case").drop("case")
+    return spread(spark, d, name).select(key, (F.col(key) % len(rows)).cast("int").alias("case")).join(F.broadcast(dim), "case").drop("case")

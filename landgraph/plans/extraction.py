@@ -9,7 +9,7 @@ from landgraph.functions import html as H
 from landgraph.functions import text as T
 from landgraph.operators import search as S
 from landgraph.plans.naming import book
-from landgraph.session import table
+from landgraph.session import spread, table
 
 QUERIES, SQL, query = book()
 
@@ -73,7 +73,7 @@ def h43_expand_range(spark, d):
 @query(r"""WITH r AS (SELECT p_partkey, CAST(p_size AS VARCHAR) AS n, lower(split_part(p_name, ' ', 2)) AS w FROM part) SELECT p_partkey, unnest([n || ' ' || w || ' street', n || ' ' || w]) AS key FROM r""")
 def h42_search_keys(spark, d):
     line = F.concat(F.col("p_size").cast("string"), F.lit(" "), F.substring_index("p_name", " ", -1), F.lit(" St"))
-    return table(spark, d, "part").select("p_partkey", F.explode(A.search_keys(A.decompose(line))).alias("key"))
+    return spread(spark, d, "part").select("p_partkey", F.explode(A.search_keys(A.decompose(line))).alias("key"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents)

@@ -11,7 +11,7 @@ from landgraph.functions import values as V
 from landgraph.operators import lineage
 from landgraph.plans.naming import book
 from landgraph.plans.records import _pages
-from landgraph.session import table
+from landgraph.session import spread, table
 
 QUERIES, SQL, query = book()
 
@@ -48,7 +48,7 @@ NUMBERS = (
 
 @query(f"SELECT p_partkey, c0 AS number, c1 AS rest FROM (SELECT p_partkey, {_answers('p_partkey', *(r[1:] for r in NUMBERS))} FROM part)")
 def h37_street_numbers(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", A.street_number(_dealt(F.col("p_partkey"), *(r[0] for r in NUMBERS))).alias("n"))
+    rows = spread(spark, d, "part").select("p_partkey", A.street_number(_dealt(F.col("p_partkey"), *(r[0] for r in NUMBERS))).alias("n"))
     return rows.select("p_partkey", "n.number", "n.rest")
 
 
@@ -68,7 +68,7 @@ UNITS = (
 
 @query(f"SELECT p_partkey, c0 AS rest, c1 AS kind, c2 AS number FROM (SELECT p_partkey, {_answers('p_partkey', *(r[1:] for r in UNITS))} FROM part)")
 def h36_units(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", A.unit(_dealt(F.col("p_partkey"), *(r[0] for r in UNITS))).alias("u"))
+    rows = spread(spark, d, "part").select("p_partkey", A.unit(_dealt(F.col("p_partkey"), *(r[0] for r in UNITS))).alias("u"))
     return rows.select("p_partkey", "u.rest", "u.kind", "u.number")
 
 
@@ -85,7 +85,7 @@ SPECIAL = (
 
 @query(f"SELECT p_partkey, c0 AS kind, c1 AS word, c2 AS number FROM (SELECT p_partkey, {_answers('p_partkey', *(r[1:] for r in SPECIAL))} FROM part)")
 def h35_special_lines(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", A.special(_dealt(F.col("p_partkey"), *(r[0] for r in SPECIAL))).alias("x"))
+    rows = spread(spark, d, "part").select("p_partkey", A.special(_dealt(F.col("p_partkey"), *(r[0] for r in SPECIAL))).alias("x"))
     return rows.select("p_partkey", F.col("x.type").alias("kind"), F.col("x.kind").alias("word"), "x.number")
 
 
@@ -120,7 +120,7 @@ def h29_site_lines(spark, d):
     pin = F.when(status == "P", F.concat(F.lit("PIN: "), c, F.lit("+"))).when(status == "F", F.concat(F.lit("PIN: "), c))
     surface = F.when(status == "F", "Surface rights only")
     lines = F.array(pin, F.concat(c, F.lit(".5 acres")), F.lit("  "), F.concat(F.lit("Plan "), k), surface, F.lit("North side of King"), F.lit("Lot 3 of Plan"))
-    rows = table(spark, d, "orders").select("o_orderkey", R.site(lines).alias("s"))
+    rows = spread(spark, d, "orders").select("o_orderkey", R.site(lines).alias("s"))
     return rows.select(
         "o_orderkey", "s.pin", F.col("s.pin_multiple").alias("several"), F.col("s.acreage").alias("acres"),
         F.replace("s.legal_description", F.lit("\n"), F.lit("|")).alias("legal"), "s.location", F.col("s.surface_rights_only").alias("surface"),
@@ -134,7 +134,7 @@ def h31_brokers(spark, d):
     k = F.col("c_custkey").cast("string")
     firm = F.concat(F.lit("Firm "), k, F.lit(": Ann One & Bob Two, Cy Three 416-555-"), F.lpad(F.col("c_nationkey").cast("string"), 4, "0"))
     solo = F.when(F.col("c_acctbal") > 0, F.concat(F.lit("Solo Agent "), k)).otherwise(" ")
-    rows = table(spark, d, "customer").select("c_custkey", F.posexplode(R.brokers(F.array(firm, F.lit(""), solo))).alias("place", "b"))
+    rows = spread(spark, d, "customer").select("c_custkey", F.posexplode(R.brokers(F.array(firm, F.lit(""), solo))).alias("place", "b"))
     return rows.select("c_custkey", "place", "b.brokerage", F.array_join("b.agents", "|").alias("agents"), "b.phone")
 
 

@@ -35,3 +35,9 @@ def test_point_query_broadcasts_no_lots(spark):
 
 def test_resolution_by_tiers_broadcasts_no_table(spark):
     assert broadcasts(registry.QUERIES["i5_resolution_by_tiers"](spark, SF)) == 0
+
+
+def test_addresses_are_taken_apart_once_and_on_all_cores(spark):
+    for name in ("h43_variations", "h42_search_keys"):
+        plan = optimized(registry.QUERIES[name](spark, SF))
+        assert "Repartition" in plan and plan.count("LOCATED") == 1, name
