@@ -92,3 +92,12 @@ def ranked_ids(df: DataFrame, order: list[Column], fmt: str, name: str) -> DataF
     sizes = inside.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     return inside.join(F.broadcast(offsets), "__part").withColumn(name, F.format_string(fmt, F.col("__at") + F.col("__before"))).drop("__part", "__at", "__before")
+
+
+def left_join_named(rows: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """A left join of rows whose key is often null: those go beside the join with nulls, as in it they would all be one task's.
+
+    The dimension grows with the rows, so it is shuffled and not broadcast.
+    """
+    met = rows.filter(F.col(key).isNotNull()).join(dim.hint("merge"), key, "left")
+    return met.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)

@@ -135,11 +135,13 @@ def c23_c24_tenants(spark, d):
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN c_name END AS property, CASE WHEN o_orderstatus = 'F' THEN n_name END AS grp FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
 def c25_deal_links(spark, d):
-    """A deal's property and group, each only where the deal names one."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderstatus") != "O", F.col("o_custkey")).alias("c_custkey"), F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).alias("g"))
+    """A deal's property and group, each only where the deal names one; a deal that names none is in no join, where nulls meet in one task."""
+    status, key = F.col("o_orderstatus"), F.col("o_custkey")
+    o = table(spark, d, "orders").select("o_orderkey", F.when(status != "O", key).alias("c_custkey"), F.when(status == "F", key).alias("g"))
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
     g = c.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("g"), F.col("n_name").alias("grp"))
-    return o.join(c, "c_custkey", "left").join(g, "g", "left").select("o_orderkey", F.col("c_name").alias("property"), "grp")
+    linked = relational.left_join_named(relational.left_join_named(o, c, "c_custkey"), g, "g")
+    return linked.select("o_orderkey", F.col("c_name").alias("property"), "grp")
 
 
 @query("""SELECT o_custkey, count(*) AS transactions, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) GROUP BY 1""")

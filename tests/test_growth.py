@@ -41,3 +41,13 @@ def test_addresses_are_taken_apart_once_and_on_all_cores(spark):
     for name in ("h43_variations", "h42_search_keys"):
         plan = optimized(registry.QUERIES[name](spark, SF))
         assert "Repartition" in plan and plan.count("LOCATED") == 1, name
+
+
+def test_rows_that_name_nothing_are_in_no_join(spark):
+    from landgraph.operators.relational import left_join_named
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "z")], "id long, k string")
+    dim = spark.createDataFrame([("a", 7), (None, 8)], "k string, v int")
+    joined = left_join_named(rows, dim, "k")
+    assert sorted((r.id, r.k, r.v) for r in joined.select("id", "k", "v").collect()) == [(1, "a", 7), (2, None, None), (3, None, None), (4, "z", None)]
+    assert "Union" in optimized(registry.QUERIES["c25_deal_links"](spark, SF))
