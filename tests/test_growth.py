@@ -51,3 +51,15 @@ def test_rows_that_name_nothing_are_in_no_join(spark):
     joined = left_join_named(rows, dim, "k")
     assert sorted((r.id, r.k, r.v) for r in joined.select("id", "k", "v").collect()) == [(1, "a", 7), (2, None, None), (3, None, None), (4, "z", None)]
     assert "Union" in optimized(registry.QUERIES["c25_deal_links"](spark, SF))
+
+
+def test_page_patterns_try_nothing_but_at_a_tag(spark):
+    import re
+
+    from landgraph.functions import classify, sections
+
+    starts = sections.any_marker("Site", also=(sections.POSITION,), end=sections.END).replace(r"\Q", "").replace(r"\E", "")
+    page = 'a Site</font> <b><a href="?page=x"><font color="#848484">Sites <font color="#848484">%s<a  href="?page=details&x">'
+    assert [re.search(starts, page % s).start() - page.index("%s") for s in ("Site</font>", "3 /4", "x", "</body>")] == [-22, -22, 1, 0]
+    words = classify._any(classify.COMPANY)
+    assert words.startswith("(?=[") and all(re.search(words, f"x {w}") for w in classify.COMPANY) and not re.search(words, "x realty y Real y")
