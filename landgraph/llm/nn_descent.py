@@ -6,8 +6,8 @@ the leader's ball. Members of a ball all link, by the triangle inequality, so a
 near copies is counted, not expanded. Among leaders, NN-descent refines a neighbour graph:
 each leader sees its neighbours' and reverse neighbours' vectors together (the local join)
 and learns pairs with at least one new edge, until few lists change. Lists that hold only
-vectors near enough to link are saturated and are enlarged; leaders whose lists are still
-saturated after the rounds are compared with all leaders, in blocks. A stated set of leaders is
+vectors near enough to link are saturated and are enlarged; leaders that have several vectors near
+enough to link after the rounds are compared with all leaders, in blocks. A stated set of leaders is
 searched by brute force, and while the recall of links falls short, new random orders seed the
 graph again; a recall that falls short to the end is an error. Around a vertex that very many
 vectors have as neighbour they meet in blocks, dealt anew each round. Pairs of leaders near enough for any link of their balls are
@@ -221,20 +221,23 @@ def descend(leaders: DataFrame, dim: int, cut: float, scratch: Scratch, *, k: in
                 break
             graph = scratch.save(_top(graph.select("u", "v", "sim", "new").union(seeds(leaders, dim, 100 + step).withColumn("new", F.lit(True))), lists.select(F.col("u").alias("v"), "k")), f"again{step}")
     graph = graph.select("u", "v", "sim")
-    # a list without room for another vector near enough to link may have lost some
-    full = scratch.save(_saturated(graph, scratch.spark.read.parquet(scratch.path(f"lists{step}")), cut), "saturated")
-    if not full.isEmpty():
-        graph = scratch.save(graph.union(against_all(leaders, full, cut, scratch)).groupBy("u", "v").agg(F.max("sim").alias("sim")), "whole")
+    crowded = scratch.save(_crowded(graph, cut, k // 2), "crowded")
+    if not crowded.isEmpty():
+        graph = scratch.save(graph.union(against_all(leaders, crowded, cut, scratch)).groupBy("u", "v").agg(F.max("sim").alias("sim")), "whole")
     got = audit(leaders, graph, cut, sample)
     if got < recall:
         raise RuntimeError(f"recall of links {got:.4f} on {sample} leaders after {step} rounds, below {recall}")
     return graph
 
 
-def _saturated(graph: DataFrame, lists: DataFrame, cut: float) -> DataFrame:
-    """(v): vertices whose lists are full of vectors with sim >= cut."""
-    held = graph.groupBy("u").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("n"))
-    return held.join(lists.select("u", "k"), "u").filter((F.col("n") >= F.col("k")) & (F.col("least") >= cut)).select(F.col("u").alias("v"))
+def _crowded(graph: DataFrame, cut: float, least: int) -> DataFrame:
+    """(v): vertices with at least `least` neighbours near enough to link, or with no others.
+
+    A local join offers a vertex its few best pairs only, and in a group of many near vectors these are
+    known ones again and again; so a longer list there may have room and still lack links.
+    """
+    near = F.count_if(F.col("sim") >= cut)
+    return graph.groupBy("u").agg(near.alias("near"), F.count(F.lit(1)).alias("n")).filter((F.col("near") >= least) | (F.col("near") == F.col("n"))).select(F.col("u").alias("v"))
 
 
 def against_all(leaders: DataFrame, some: DataFrame, cut: float, scratch: Scratch, block: int = 4096) -> DataFrame:

@@ -312,6 +312,17 @@ def test_saturated_lists_lose_no_links(spark):
     assert len(want) > 150 * 100 and all((j, i) in got or (i, j) in got for i, j in want)
 
 
+def test_groups_whose_lists_have_room_lose_no_links(spark):
+    rng = np.random.default_rng(8)
+    groups = [rng.normal(size=32) * 4 + rng.normal(size=(n, 32)) * 0.3 for n in (90, 60, 40)]
+    x = np.concatenate([*groups, rng.normal(size=(600, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    leaders = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "v long, x binary")
+    got = {(r.u, r.v) for r in descend(leaders, 32, 0.95, Scratch(spark, "room"), recall=0).filter("sim >= 0.95").collect()}
+    want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.95), strict=True) if i != j}
+    assert len(want) > 10_000 and all((j, i) in got or (i, j) in got for i, j in want)
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = []
