@@ -12,8 +12,9 @@ and its tokens as indices into them. Word counts are summed over chunks by a shu
 distinct words only, and each chunk gets back its words' counts. Baum-Welch starts with a few
 steps on small disjoint folds of the training documents, whose counts are not kept, and then
 iterates over all training documents, every iteration taking its parameters from the whole
-sums; each task sums its expected counts over its chunks and the sums are added in slices. Likelihoods are exact over whole texts: transfer
-matrices of segments are multiplied with scaling, then chained for each document.
+sums; each task sums its expected counts over its chunks and the sums are added in slices. Likelihoods are exact over whole texts:
+texts of some length are run side by side, a vector each; longer ones are cut into segments, whose transfer
+matrices are multiplied with scaling, then chained for each document.
 
 Null texts are empty: one end token. A null id is training. Repeated rows are scored, and
 counted, each for itself.
@@ -33,6 +34,8 @@ from landgraph.llm.common import Scratch, slices, sum_vectors
 from landgraph.llm.hashing import word_slices
 
 PARTS, SEGMENT, FOLDS = 64, 64, 64
+WHOLE = 1024  # texts of up to so many tokens are not cut into segments
+RESCALE = 4  # steps between two scalings of a vector
 WARM = ((0, 1), (1, 2), (2, 4), (4, 6))  # folds of the first steps
 ITERATIONS = 5  # over all folds
 
@@ -87,30 +90,60 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Segments:
-    """Symbols of some documents cut into segments, longest first."""
+    """Symbols of some documents cut into segments, longest first; documents of up to WHOLE symbols are a segment each."""
 
     def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
         starts = np.cumsum(lengths) - lengths
-        per_doc = -(-lengths // SEGMENT)
+        longest = int(lengths.max(initial=1))
+        self.steps = longest if longest <= WHOLE else SEGMENT
+        per_doc = -(-lengths // self.steps)
         self.n_docs, self.per_doc = len(lengths), per_doc
         doc = np.repeat(np.arange(len(lengths)), per_doc)
         first = np.cumsum(per_doc) - per_doc
         rank = np.arange(len(doc)) - first[doc]
-        begin = starts[doc] + rank * SEGMENT
-        size = np.minimum(SEGMENT, starts[doc] + lengths[doc] - begin)
+        begin = starts[doc] + rank * self.steps
+        size = np.minimum(self.steps, starts[doc] + lengths[doc] - begin)
         self.order = np.argsort(-size, kind="stable")  # place in the sorted order -> segment
         self.back = np.empty_like(self.order)
         self.back[self.order] = np.arange(len(doc))
         self.size, at = size[self.order], begin[self.order]
-        self.symbols = np.zeros((len(doc), SEGMENT), np.int32)
-        for t in range(SEGMENT):
+        self.running = np.searchsorted(-self.size, -np.arange(self.steps + 1), side="left")
+        self.symbols = np.zeros((self.steps, len(doc)), np.int64)
+        for t in range(self.steps):
             n = self.active(t)
-            self.symbols[:n, t] = symbols[at[:n] + t]
+            self.symbols[t, :n] = symbols[at[:n] + t]
         self.first = first
         self.by_segments = np.argsort(-per_doc, kind="stable")
 
     def active(self, t: int) -> int:
-        return int(np.searchsorted(-self.size, -t, side="left"))
+        return int(self.running[t])
+
+    def said(self, t: int) -> np.ndarray:
+        """The symbols of step t."""
+        return self.symbols[t, : self.active(t)]
+
+    def forward(self, v: np.ndarray, a: np.ndarray, emit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """For each step the scaled forward vectors behind it, of the segments that have it, and the scales, or None where all are 1."""
+        ones = np.ones(len(a), a.dtype)
+        for t in range(self.steps):
+            v, scale = (v[: self.active(t)] @ a) * np.take(emit, self.said(t), axis=0), None
+            if t % RESCALE == RESCALE - 1:
+                scale = v @ ones
+                v /= scale[:, None]
+            yield v, scale
+
+    def likelihood(self, start: np.ndarray, a: np.ndarray, emit: np.ndarray) -> np.ndarray:
+        """Log likelihood of each document."""
+        if self.steps == SEGMENT:
+            return self.chain(*self.transfers(a, emit), start)[0]
+        logs, last = np.zeros(len(self.size)), np.broadcast_to(start, (len(self.size), len(start))).copy()
+        for v, scale in self.forward(last, a, emit):
+            last[: len(v)] = v
+            if scale is not None:
+                logs[: len(v)] += np.log(scale)
+        out = np.zeros(self.n_docs)
+        out[self.per_doc > 0] = (logs + np.log(last.sum(1)))[self.back[self.first[self.per_doc > 0]]]
+        return out
 
     def transfers(self, a: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scaled products of A diag(b) over each segment, and the logs of the scales."""
@@ -119,14 +152,14 @@ class Segments:
         m = np.broadcast_to(np.eye(s, dtype=a.dtype)[:, None, :], (s, n, s)).copy()
         flat, step, back = m.reshape(s, n * s), np.empty((s, n * s), a.dtype), np.ascontiguousarray(a.T)
         logs = np.zeros(n)
-        for t in range(SEGMENT):
+        for t in range(self.steps):
             k = self.active(t)
             if not k:
                 break
             np.matmul(back, flat[:, : k * s], out=step[:, : k * s])
-            likely = np.ascontiguousarray(emit[self.symbols[:k, t]].T)
+            likely = np.ascontiguousarray(emit[self.said(t)].T)
             np.multiply(step.reshape(s, n, s)[:, :k], likely[:, :, None], out=m[:, :k])
-            if t % 8 == 7 or t == SEGMENT - 1:
+            if t % 8 == 7 or t == self.steps - 1:
                 top = m[:, :k].max(axis=(0, 2))
                 m[:, :k] /= top[None, :, None]
                 logs[:k] += np.log(top)
@@ -162,64 +195,71 @@ class Segments:
 def expected_counts(seg: Segments, start: np.ndarray, a: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """Baum-Welch sums: start (S), transitions (S x S), emissions (S x symbols), one vector."""
     s, n_symbols = len(a), len(emit)
-    m, logs = seg.transfers(a, emit)
-    _, before = seg.chain(m, logs, start)
-    beta = seg.after(m)
     n = len(seg.size)
-    alpha = np.empty((SEGMENT + 1, n, s), a.dtype)
-    alpha[0] = before
-    for t in range(SEGMENT):
-        k = seg.active(t)
-        step = (alpha[t, :k] @ a) * emit[seg.symbols[:k, t]]
-        alpha[t + 1, :k] = step / step.sum(1, keepdims=True)
-    moves, out = np.zeros((s, s)), np.empty((n_symbols, s))
-    said, share, done = np.empty(int(seg.size.sum()), np.int32), np.empty((int(seg.size.sum()), s), a.dtype), 0
+    if seg.steps == SEGMENT:
+        m, logs = seg.transfers(a, emit)
+        _, before = seg.chain(m, logs, start)
+        beta = seg.after(m)
+    else:
+        before, beta = np.broadcast_to(start, (n, s)), np.ones((n, s), a.dtype)
+    alpha, scales = [before], []
+    for v, scale in seg.forward(before, a, emit):
+        alpha.append(v)
+        scales.append(scale)
+    moves, out, ones = np.zeros((s, s)), np.empty((n_symbols, s)), np.ones(s, a.dtype)
+    said, share, done = np.empty(int(seg.size.sum()), np.int64), np.empty((int(seg.size.sum()), s), a.dtype), 0
     starts = np.zeros(s)
     is_first = np.zeros(n, bool)
     is_first[seg.back[seg.first[seg.per_doc > 0]]] = True
-    for t in range(SEGMENT - 1, -1, -1):
+    for t in range(seg.steps - 1, -1, -1):
         k = seg.active(t)
         if not k:
             continue
-        sym = seg.symbols[:k, t]
-        q = emit[sym] * beta[:k]
-        p = alpha[t, :k]
+        sym = seg.said(t)
+        b = beta[:k]
+        q = np.take(emit, sym, axis=0) * b
+        p = alpha[t][:k]
         back = q @ a.T
-        norm = (p * back).sum(1, keepdims=True)
-        moves += (p / norm).T @ q
-        share[done : done + k] = (p @ a) * q / norm
+        both = alpha[t + 1] * b
+        norm = both @ ones
+        np.divide(both, norm[:, None], out=share[done : done + k])
         said[done : done + k] = sym
         done += k
+        norm = (norm if scales[t] is None else norm * scales[t])[:, None]
+        moves += (p / norm).T @ q
         if t == 0:
             first = is_first[:k]
             starts += (p[first] * back[first] / norm[first]).sum(0)
-        beta[:k] = back / back.max(1, keepdims=True)
+        beta[:k] = back / (back @ ones)[:, None] if t % RESCALE == 0 else back
     for i in range(s):
         out[:, i] = np.bincount(said, share[:, i], minlength=n_symbols)
     return np.concatenate([starts, (moves * a).ravel(), out.ravel()])
 
 
-def _docs_of(row: dict, wanted: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols (with the end) and lengths of some documents of a chunk."""
+def _docs_of(row: dict, wanted: np.ndarray, symbols: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some documents of a chunk by length, in groups: which they are, their symbols (with the end) and lengths."""
     lengths = np.asarray(row["lengths"], np.int64)
-    tokens = np.frombuffer(row["tokens"], np.uint32)
     classes = (np.frombuffer(row["vocabulary"], np.uint64) % np.uint64(symbols)).astype(np.int32)
+    said = classes[np.frombuffer(row["tokens"], np.uint32)]
     starts = np.cumsum(lengths) - lengths
-    full = lengths[wanted] + 1
-    out = np.full(full.sum(), symbols, np.int32)
-    ends = np.cumsum(full) - 1
-    inside = np.ones(len(out), bool)
-    inside[ends] = False
-    take = np.repeat(starts[wanted], lengths[wanted]) + np.arange(lengths[wanted].sum()) - np.repeat(np.cumsum(lengths[wanted]) - lengths[wanted], lengths[wanted])
-    out[inside] = classes[tokens[take]]
-    return out, full
+    wanted = wanted[np.argsort(lengths[wanted], kind="stable")]
+    for part in _groups(lengths[wanted] + 1):
+        some = wanted[part]
+        full = lengths[some] + 1
+        out = np.full(full.sum(), symbols, np.int32)
+        ends = np.cumsum(full) - 1
+        inside = np.ones(len(out), bool)
+        inside[ends] = False
+        out[inside] = said[np.repeat(starts[some] - np.cumsum(full - 1) + full - 1, full - 1) + np.arange((full - 1).sum())]
+        yield some, out, full
 
 
 def _groups(lengths: np.ndarray, tokens: int = 160_000) -> Iterator[slice]:
-    """Runs of documents of about so many tokens: their matrices stay in a core's cache."""
-    ends, lo = np.cumsum(lengths), 0
+    """Runs of ascending lengths of about so many tokens, whose data stay in a core's cache, parted where segments begin."""
+    ends, lo, short = np.cumsum(lengths), 0, int(np.searchsorted(lengths, WHOLE, side="right"))
     while lo < len(lengths):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + tokens)))
+        hi = min(hi, short) if lo < short else hi
         yield slice(lo, hi)
         lo = hi
 
@@ -235,8 +275,8 @@ def _expect(shared, lo: int, hi: int, symbols: int, width: int):
                 row = b.slice(i, 1).to_pylist()[0]
                 folds, held = np.asarray(row["folds"]), np.asarray(row["held"])
                 wanted = np.flatnonzero((folds >= lo) & (folds < hi) & ~held)
-                for part in _groups(np.asarray(row["lengths"])[wanted]):
-                    got = expected_counts(Segments(*_docs_of(row, wanted[part], symbols)), start, a, emit)
+                for _, said, lengths in _docs_of(row, wanted, symbols):
+                    got = expected_counts(Segments(said, lengths), start, a, emit)
                     sums[: len(got)] += got
                     some = True
         if some:
@@ -284,9 +324,9 @@ def _judge(shared, symbols: int, id_type: pa.DataType):
         # emissions relative to the symbol's largest, whose log is added back for each token
         top = emit.max(1)
         chain = np.zeros(len(lengths))
-        for part in _groups(lengths):
-            seg = Segments(*_docs_of(row, np.arange(len(lengths))[part], symbols))
-            chain[part] = seg.chain(*seg.transfers(a, emit / top[:, None]), start)[0]
+        relative = emit / top[:, None]
+        for some, said, full in _docs_of(row, np.arange(len(lengths)), symbols):
+            chain[some] = Segments(said, full).likelihood(start, a, relative)
         log_top = np.log(top)
         chain += by_doc(log_top[classes]) + log_top[symbols]
         columns = {

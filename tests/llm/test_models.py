@@ -226,6 +226,22 @@ def brute(start, a, emit, seq):
     return math.log(total)
 
 
+def test_whole_texts_need_no_matrices_and_equal_segments(monkeypatch):
+    rng = np.random.default_rng(6)
+    lengths = np.array([1, 64, 65, 700, 3, 1024])
+    symbols = rng.integers(0, 30, lengths.sum())
+    a = rng.random((4, 4)) + 0.1
+    a /= a.sum(1, keepdims=True)
+    emit, start = rng.random((30, 4)) + 0.01, np.full(4, 0.25)
+    monkeypatch.setattr(hidden_markov, "WHOLE", 64)
+    cut = Segments(symbols, lengths)
+    want = cut.chain(*cut.transfers(a, emit), start)[0], expected_counts(cut, start, a, emit)
+    monkeypatch.undo()
+    monkeypatch.setattr(Segments, "transfers", None)
+    seg = Segments(symbols, lengths)
+    assert np.allclose(seg.likelihood(start, a, emit), want[0]) and np.allclose(expected_counts(seg, start, a, emit), want[1])
+
+
 def test_forward_and_expected_counts_equal_enumeration():
     rng = np.random.default_rng(0)
     a, emit, start = rng.random((2, 2)), rng.random((4, 2)), rng.random(2)
