@@ -63,3 +63,19 @@ def test_page_patterns_try_nothing_but_at_a_tag(spark):
     assert [re.search(starts, page % s).start() - page.index("%s") for s in ("Site</font>", "3 /4", "x", "</body>")] == [-22, -22, 1, 0]
     words = classify._any(classify.COMPANY)
     assert words.startswith("(?=[") and all(re.search(words, f"x {w}") for w in classify.COMPANY) and not re.search(words, "x realty y Real y")
+
+
+def test_words_go_through_the_shuffle_as_parts_of_blocks(spark, tmp_path):
+    import pyarrow as pa
+
+    from landgraph.operators import fulltext
+
+    rows = [(5000, "b", ["x", "runs", "x"]), (3, "b", ["x"]), (2, "b", ["run", "x"]), (2, "a", ["x"]), (7, "a", []), (None, "a", ["x"])]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.list_(pa.string())), strict=True)]
+    got = {(r["term"], r["field"], r["block"]): [(d["offset"], d["places"]) for d in r["documents"]] for r in fulltext._ordered(*columns, True).to_pylist()}
+    assert got.pop(("x", "a", None)) == [(4095, [0])]
+    assert got == {("x", "b", 0): [(2, [1]), (3, [0])], ("x", "b", 1): [(904, [0, 2])], ("run", "b", 0): [(2, [0])], ("run", "b", 1): [(904, [1])], ("x", "a", 0): [(2, [0])]}
+    docs = spark.createDataFrame([(i, "Runs é x x" if i % 2 else None) for i in range(5000)], "id long, t string")
+    fulltext.write_index(docs, "id", ["t"], f"{tmp_path}/i")
+    index = spark.read.parquet(f"{tmp_path}/i").selectExpr("term", "block", "size(documents) n", "documents[0] d").collect()
+    assert sorted((r.term, r.block, r.n, r.d.offset, r.d.places) for r in index) == sorted((t, b, n, 1, p) for t, p in (("run", [0]), ("e", [1]), ("x", [2, 3])) for b, n in ((0, 2048), (1, 452)))
