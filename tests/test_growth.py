@@ -79,3 +79,20 @@ def test_words_go_through_the_shuffle_as_parts_of_blocks(spark, tmp_path):
     fulltext.write_index(docs, "id", ["t"], f"{tmp_path}/i")
     index = spark.read.parquet(f"{tmp_path}/i").selectExpr("term", "block", "size(documents) n", "documents[0] d").collect()
     assert sorted((r.term, r.block, r.n, r.d.offset, r.d.places) for r in index) == sorted((t, b, n, 1, p) for t, p in (("run", [0]), ("e", [1]), ("x", [2, 3])) for b, n in ((0, 2048), (1, 452)))
+
+
+def test_page_lines_are_cleaned_as_one_text_with_patterns_compiled_once(spark):
+    from pyspark.sql import functions as F
+
+    from landgraph.functions import classify, sections
+
+    text = "<p> <br>a<br\r/> b <br />\r<p>c &lt;br&gt;&am\rp;<p /><p>d<x\ry> \u0085<br> <br />\t e<\r><br><p>"
+    x = F.col("x")
+    df = spark.createDataFrame([(text,), ("",), ("<br /> <br />",)], "x string").select(sections.paragraphs(x).alias("p"), sections.broken(x).alias("b"))
+    assert [tuple(r) for r in df.collect()] == [
+        (["", "a", "b", "", "c &amp;", "", "", "d\u0085", "", "e"], ["", "a", "b", "c &amp;d\u0085", "", "e"]), ([], []), ([], []),
+    ]
+    page = optimized(spark.createDataFrame([(text,)], "x string").select(sections.page(F.col("x")).alias("p")))
+    assert "split(" not in page
+    label = optimized(spark.createDataFrame([(text,)], "x string").select(classify.line_label(F.col("x")).alias("l")))
+    assert label.count(classify.CARE_OF) < 8
