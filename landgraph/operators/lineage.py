@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -128,14 +128,33 @@ def stage_trace(stages: DataFrame, fields: tuple[tuple[str, str, str], ...], ord
     rows = stages.join(F.broadcast(places), "stage")  # the paths given, a parameter
     values = rows.select("id", "field", "step", "stage", F.expr("get_json_object(record, path)").alias("value")).filter("value is not null")
     trace = F.array_sort(F.collect_list(F.struct("step", "stage", "value")))
-    rows = values.groupBy("id", "field").agg(trace.alias("t"))
+    return _told(values.groupBy("id", "field").agg(trace.alias("t")), "id", order)
+
+
+def record_trace(records: DataFrame, key: str, fields: tuple[tuple[str, str, str], ...], order: tuple[str, ...]) -> DataFrame:
+    """The same as stage_trace, of rows that have all stages of a record, each as a column of JSON named by its stage.
+
+    A row's traces are made in place: nothing is joined, grouped or shuffled, and paths are literals, parsed once and not for each row.
+    """
+    held = lambda s, path: F.struct(F.lit(order.index(s)).alias("step"), F.lit(s).alias("stage"), F.get_json_object(s, path).alias("value"))
+    paths: dict[str, list[Column]] = {}
+    for f, s, path in fields:
+        paths.setdefault(f, []).append(held(s, path))
+    traces = [x for f, values in paths.items() for x in (F.lit(f), F.array_sort(F.filter(F.array(*values), lambda v: v["value"].isNotNull())))]
+    # stack, not an exploded array: Spark tests an array's size before it explodes it, down at the scan, which builds the records once more
+    rows = records.select(key, F.stack(F.lit(len(paths)), *traces).alias("field", "t"))
+    return _told(rows.filter(F.size("t") > 0), key, order)
+
+
+def _told(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """Rows (key, field, t), with t the sorted (step, stage, value) that hold a value, as a trace and its changes."""
     t = F.col("t")
     after = F.zip_with(F.slice(t, F.lit(2), F.size(t) - 1), F.slice(t, F.lit(1), F.size(t) - 1), lambda b, a: F.when(b["value"] != a["value"], b["stage"]))
     steps = F.transform(t, lambda x: x["step"])
     missing = F.filter(F.sequence(F.array_min(steps), F.lit(len(order) - 1)), lambda i: ~F.array_contains(steps, i))
     names = F.array(*map(F.lit, order))
     return rows.select(
-        "id", "field", F.transform(t, lambda x: F.struct(x["stage"].alias("stage"), x["value"].alias("value"))).alias("trace"),
+        key, "field", F.transform(t, lambda x: F.struct(x["stage"].alias("stage"), x["value"].alias("value"))).alias("trace"),
         F.try_element_at(t, F.lit(1))["value"].alias("first_value"), F.try_element_at(t, F.lit(-1))["value"].alias("last_value"),
         F.try_element_at(F.filter(after, lambda s: s.isNotNull()), F.lit(1)).alias("changed_at"), F.get(names, F.array_min(missing)).alias("lost_at"), F.size(t).alias("held"),
     )

@@ -174,11 +174,15 @@ UNION ALL SELECT o_orderkey, 'price', '$' || format('{:,}', n), CAST(n AS VARCHA
 UNION ALL SELECT o_orderkey, 'street', o_orderkey || ' Main St', o_orderkey || ' Main Street', 'clean', NULL, 3 FROM o
 UNION ALL SELECT o_orderkey, 'care_of', 'c/o Smith & Jones', 'Smith & Jones, Barristers', 'classified', 'clean', 2 FROM o WHERE NOT f""")
 def m1_stage_trace(spark, d):
-    """Fields of each sale over its structural, classified and clean record: where they change and where they are lost."""
+    """Fields of each sale over its structural, classified and clean record: where they change and where they are lost.
+
+    Records are built of the sections and fields that a path traced, or the clean record, reads: the others' values are in no row.
+    """
+    read = lambda stage: {path.split(".")[1].split("[")[0] for _, s, path in TRACED if s == stage}
+    fields = frozenset(read("classified") | {"rt_id", "header", "seller"})
+    sections = frozenset(read("structural").union(*(R.RECORD[f][0] for f in fields)))
     p = F.col("p")
-    page = _pages(spark, d).select("o_orderkey", S.page(F.col("html")).alias("p")).select("o_orderkey", "p", R.classified(p).alias("c"))
+    page = _pages(spark, d).select("o_orderkey", S.page(F.col("html"), sections).alias("p")).select("o_orderkey", "p", R.classified(p, fields).alias("c"))
     clean = F.struct(F.col("c.rt_id").alias("id"), F.col("c.header.sale_price").alias("price"), A.contact_address(F.col("c.seller.address.lines")).alias("seller"))
-    # stack, not an exploded array: Spark tests an array's size before it explodes it, down at the scan, which builds all records once more for each of their fields
-    rows = page.select(F.col("o_orderkey").alias("id"), F.to_json("p").alias("p"), F.to_json("c").alias("c"), F.to_json(clean).alias("clean"))
-    stages = rows.select("id", F.stack(F.lit(3), F.lit("structural"), F.col("p"), F.lit("classified"), F.col("c"), F.lit("clean"), F.col("clean")).alias("stage", "record"))
-    return lineage.stage_trace(stages, TRACED, ("structural", "classified", "clean")).drop("trace").withColumnRenamed("id", "o_orderkey")
+    records = page.select("o_orderkey", F.to_json("p").alias("structural"), F.to_json("c").alias("classified"), F.to_json(clean).alias("clean"))
+    return lineage.record_trace(records, "o_orderkey", TRACED, ("structural", "classified", "clean")).drop("trace")

@@ -96,3 +96,16 @@ def test_page_lines_are_cleaned_as_one_text_with_patterns_compiled_once(spark):
     assert "split(" not in page
     label = optimized(spark.createDataFrame([(text,)], "x string").select(classify.line_label(F.col("x")).alias("l")))
     assert label.count(classify.CARE_OF) < 8
+
+
+def test_a_record_is_traced_in_its_row(spark):
+    from landgraph.operators.lineage import record_trace, stage_trace
+
+    fields, order = (("a", "raw", "$.x"), ("a", "mid", "$.y.z"), ("a", "end", "$.x"), ("b", "raw", "$.b"), ("b", "end", "$.b")), ("raw", "mid", "end")
+    rows = [(1, '{"x":"1","b":"q"}', '{"y":{"z":"1"}}', '{"x":"2","b":"q"}'), (2, '{"x":"1"}', None, '{"x":"1"}'), (3, None, '{"y":{"z":"5"}}', "{}"), (4, "no json", None, None), (None, None, None, '{"x":"7"}')]
+    wide = spark.createDataFrame(rows, "id long, raw string, mid string, end string")
+    long = wide.selectExpr("id", "stack(3, 'raw', raw, 'mid', mid, 'end', end) AS (stage, record)")
+    want = {(r.id, r.field): tuple(r) for r in stage_trace(long, fields, order).collect()}
+    assert {(r.id, r.field): tuple(r) for r in record_trace(wide, "id", fields, order).collect()} == want and len(want) == 5
+    plan = optimized(registry.QUERIES["m1_stage_trace"](spark, SF))
+    assert not any(x in plan for x in ("Aggregate [", "Join ", "Broker/Agent</font>\\E(?:")) and "Generate stack(4" in plan
