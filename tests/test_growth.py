@@ -109,3 +109,20 @@ def test_a_record_is_traced_in_its_row(spark):
     assert {(r.id, r.field): tuple(r) for r in record_trace(wide, "id", fields, order).collect()} == want and len(want) == 5
     plan = optimized(registry.QUERIES["m1_stage_trace"](spark, SF))
     assert not any(x in plan for x in ("Aggregate [", "Join ", "Broker/Agent</font>\\E(?:")) and "Generate stack(4" in plan
+
+
+def test_lines_are_typed_once(spark):
+    from pyspark.sql import functions as F
+
+    from landgraph.functions import record, sections, text
+
+    x, xs = F.col("x"), F.col("xs")
+    rows = [(t, [t]) for t in (" a\tb  c ", "416-555-0100 Ann", "Firm: Ann & Bob, Cy and Di 416-555-0100 x 5 more 416-555-0100", "a : b : c", "", None)]
+    df = spark.createDataFrame(rows, "x string, xs array<string>")
+    plan = lambda c: optimized(df.select(c.alias("c")))
+    assert plan(sections.header(x)).count("array_position") == 1
+    assert plan(record.site(xs)).count("Surface rights") == 1 and plan(record.address_entries(xs)).count("HIGHWAY|HWY") == 1
+    words = df.select(text.words_of(x).alias("a"), F.split("x", r"\s+").alias("b")).collect()
+    assert [r.a for r in words] == [r.b for r in words]
+    brokers = [[(b.brokerage, b.agents, b.phone) for b in r.b] for r in df.filter("x is not null").select(record.brokers(xs).alias("b")).collect()]
+    assert brokers == [[("", ["a\tb  c"], "")], [("", [], "416-555-0100")], [("Firm", ["Ann", "Bob", "Cy", "Di"], "416-555-0100 x 5")], [("a", ["b : c"], "")], []]
