@@ -126,3 +126,17 @@ def test_lines_are_typed_once(spark):
     assert [r.a for r in words] == [r.b for r in words]
     brokers = [[(b.brokerage, b.agents, b.phone) for b in r.b] for r in df.filter("x is not null").select(record.brokers(xs).alias("b")).collect()]
     assert brokers == [[("", ["a\tb  c"], "")], [("", [], "416-555-0100")], [("Firm", ["Ann", "Bob", "Cy", "Di"], "416-555-0100 x 5")], [("a", ["b : c"], "")], []]
+
+
+def test_searches_shuffle_documents_and_not_places(spark, tmp_path):
+    from landgraph.operators import fulltext
+
+    texts = {1: "a a b a", 2: "b a a", 3: "ab b a", 4: "a b a b", 5: None, 6: "a"}
+    docs = spark.createDataFrame([(k, t, "b a" if k == 6 else "") for k, t in texts.items()], "id long, t string, u string")
+    fulltext.write_index(docs, "id", ["t", "u"], f"{tmp_path}/i", stemmed=False)
+    index = fulltext.Index(spark, f"{tmp_path}/i", ["t", "u"], stemmed=False)
+    found = {q: sorted(r.key for r in index.search(q).collect()) for q in ('"a a"', '"a b a"', '"b a*"', "^b", '^"a b"', 't: "b a"', "a*", "NEAR(a b, 0)", '"a b a b a"', '""')}
+    assert found == {'"a a"': [1, 2], '"a b a"': [1, 4], '"b a*"': [1, 2, 3, 4, 6], "^b": [2, 6], '^"a b"': [4], 't: "b a"': [1, 2, 3, 4], "a*": [1, 2, 3, 4, 6], "NEAR(a b, 0)": [1, 2, 3, 4, 6], '"a b a b a"': [], '""': []}
+    starts = index._occurrences(fulltext.parse('"a b"', ["t", "u"]))
+    assert sorted(tuple(r) for r in starts.collect()) == [(1, "t", 1, 2), (4, "t", 0, 2), (4, "t", 2, 2)]
+    assert [optimized(index.search(q)).count("Generate explode(") for q in ("a", "^a", '"a b"')] == [1, 1, 2]
